@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licences, secrets, simhash
-from .common import table
+from . import bpe, licences, secrets, simhash, toxicity, warc
+from .common import doc_bucket, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -35,6 +35,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"), min_revisit=1000)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(doc_bucket(F.col("doc_id"), 3) != 1))
+    return toxicity.score(docs, model, evidence=False).select(
+        "doc_id", (doc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
@@ -50,5 +63,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+OP7_SQL = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+), r as (
+  select payload_digest, max(page_id) as response from p where payload_bytes >= 1000 group by payload_digest having count(*) > 1
+)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+       case when response is not null and page_id <> response then 'revisit' else 'response' end as record_type,
+       case when page_id <> response then response end as refers_to
+from p left join r using (payload_digest)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": OP7_SQL}
