@@ -48,17 +48,35 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.fromiter([digest(x, 42) for x in pieces], dtype=np.uint64, count=len(pieces))
 
 
-def majority(hashes: np.ndarray) -> int:
-    """A bit is 1 if it is set in over half of the hashes."""
-    n = len(hashes)
-    if not n:
-        return 0
-    total = np.zeros(64, dtype=np.int64)
-    for k in range(0, n, 65_536):
-        bits = np.unpackbits(hashes[k : k + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        full = len(bits) // 255 * 255
-        total += bits[:full].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[full:].sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+def majority(flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """For each run of hashes flat[begin:next begin], none empty: a bit is 1 if it is set in over half of them."""
+    ends = np.append(begins[1:], len(flat))
+    out = np.empty(len(begins), dtype=np.uint64)
+    i = 0
+    while i < len(begins):
+        j = max(i + 1, int(np.searchsorted(ends, begins[i] + 65_536)))
+        if j == i + 1 and ends[i] - begins[i] > 65_536:
+            total = np.zeros((1, 64), dtype=np.int64)
+            for k in range(int(begins[i]), int(ends[i]), 65_536):
+                total += bits_of(flat[k : min(k + 65_536, int(ends[i]))]).sum(axis=0, dtype=np.int64)
+        else:
+            total = np.add.reduceat(bits_of(flat[begins[i] : ends[j - 1]]), begins[i:j] - begins[i], axis=0, dtype=np.int32)
+        more = 2 * total > (ends[i:j] - begins[i:j])[:, None]
+        out[i:j] = np.packbits(more, axis=1, bitorder="little").view("<u8")[:, 0]
+        i = j
+    return out
+
+
+def bits_of(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The non-empty arrays one after another, where each begins, and which they are."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    some = np.nonzero(sizes)[0]
+    flat = np.concatenate([sets[i] for i in some.tolist()]) if len(some) else np.zeros(0, dtype=np.uint64)
+    return flat, np.cumsum(sizes[some]) - sizes[some], some
 
 
 def fingerprints(df: DataFrame, words: int = 3) -> DataFrame:
@@ -67,7 +85,9 @@ def fingerprints(df: DataFrame, words: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                fps = np.array([majority(shingle_hashes(x, words)) for x in raw_texts(part)], dtype=np.uint64)
+                flat, begins, some = joined([shingle_hashes(x, words) for x in raw_texts(part)])
+                fps = np.zeros(part.num_rows, dtype=np.uint64)
+                fps[some] = majority(flat, begins)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return df.select("doc_id", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp long")
@@ -162,22 +182,23 @@ def classes(df: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
 # -- a bound on the similarity of shingle sets ----------------------------------------------------
 
 
-def wide(hashes: np.ndarray, lanes: int = 4) -> list[int]:
-    """A fingerprint of 64 * lanes bits of a set of hashes."""
-    return [majority(hashes if k == 0 else mix(hashes + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64)))) for k in range(lanes)]
+def wide(flat: np.ndarray, begins: np.ndarray, lanes: int = 4) -> np.ndarray:
+    """Fingerprints of 64 * lanes bits of sets of hashes, a row each."""
+    return np.stack([majority(flat if k == 0 else mix(flat + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))), begins) for k in range(lanes)], axis=1)
 
 
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """Hashes of BANDS bands of ROWS min-hashes each."""
-    low = [int((mix_light(hashes, s)).min()) for s in _SEEDS]
-    rows = np.array(low, dtype=np.uint64).reshape(BANDS, ROWS)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def bands(flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Hashes of BANDS bands of ROWS min-hashes each, a row for each set."""
+    rows = np.empty((len(_SEEDS), len(begins)), dtype=np.uint64)
+    for k, seed in enumerate(_SEEDS):
+        rows[k] = np.minimum.reduceat(mix_light(flat, seed), begins) if len(begins) else 0
+    h = np.repeat((np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None], len(begins), axis=1)
     for k in range(ROWS):
-        h = mix(h ^ rows[:, k])
-    return h.view(np.int64).tolist()
+        h = mix(h ^ rows[k::ROWS])
+    return h.T
 
 
 def mix_light(h: np.ndarray, seed: np.uint64) -> np.ndarray:
@@ -191,15 +212,20 @@ def sketches(df: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                same, size, fps, keys = [], [], [], []
-                for x in raw_texts(part):
-                    h = np.unique(shingle_hashes(x, words))
-                    same.append(xxhash.xxh64_intdigest(h.tobytes(), len(h)) - (1 << 63))
-                    size.append(len(h))
-                    fps.append(np.array(wide(h), dtype=np.uint64).view(np.int64))
-                    keys.append(bands(h) if len(h) else [])
+                sets = [np.unique(shingle_hashes(x, words)) for x in raw_texts(part)]
+                flat, begins, some = joined(sets)
+                fps, keys = np.zeros((len(sets), 4), dtype=np.uint64), np.zeros((len(sets), BANDS), dtype=np.uint64)
+                fps[some], keys[some] = wide(flat, begins), bands(flat, begins)
+                own = np.zeros(len(sets), dtype=np.int64)
+                own[some] = BANDS
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(same, pa.int64()), pa.array(size, pa.int32()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+                    [
+                        part.column(0),
+                        pa.array([xxhash.xxh64_intdigest(h.tobytes(), len(h)) - (1 << 63) for h in sets], pa.int64()),
+                        pa.array([len(h) for h in sets], pa.int32()),
+                        pa.FixedSizeListArray.from_arrays(pa.array(fps.view(np.int64).ravel()), 4).cast(pa.list_(pa.int64())),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(own)), pa.int32()), pa.array(np.ascontiguousarray(keys[some]).view(np.int64).ravel())),
+                    ],
                     ["doc_id", "same", "n", "fp", "bands"],
                 )
 
@@ -207,24 +233,41 @@ def sketches(df: DataFrame, words: int) -> DataFrame:
 
 
 def jaccard_links(sets: list[np.ndarray], similarity: float, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs of sets of at least that Jaccard similarity, by counting over an inverted index."""
+    """A spanning forest of the pairs of sets of at least that Jaccard similarity, by counting over an inverted index, or over bit
+    rows of the shared items where that is cheaper."""
     n = len(sets)
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
-    flat = np.concatenate(sets)
-    _, item = np.unique(flat, return_inverse=True)
     owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(item, kind="stable")
-    posting, first = owner[order], np.append(0, np.cumsum(np.bincount(item)))
-    begins = np.append(0, np.cumsum(sizes))
+    _, item, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Only what two sets share counts.
+    kept = times[item] > 1
+    _, item = np.unique(item[kept], return_inverse=True)
+    owner, times = owner[kept], times[times > 1]
     forest = Forest(n)
-    for i in range(n):
-        own = item[begins[i] : begins[i + 1]]
-        lo, hi = first[own], first[own + 1]
-        span = hi - lo
-        at = np.repeat(lo - np.cumsum(span) + span, span) + np.arange(int(span.sum()))
-        shared = np.bincount(posting[at], minlength=n)[:i]
-        near = np.nonzero(shared >= similarity * (sizes[i] + sizes[:i] - shared) - 1e-9)[0]
-        near = near[shared[near] > 0]
+    columns = -(-len(times) // 64)
+    dense = n * n * columns < 20 * int((times * times).sum()) and n * columns < 1 << 24
+    if dense:
+        matrix = np.zeros((n, columns * 64), dtype=bool) if n * columns < 1 << 20 else None
+        packed = np.zeros((n, columns * 8), dtype=np.uint8)
+        if matrix is not None:
+            matrix[owner, item] = True
+            packed = np.packbits(matrix, axis=1, bitorder="little")
+        else:
+            np.bitwise_or.at(packed, (owner, item >> 3), (1 << (item & 7)).astype(np.uint8))
+        packed = np.ascontiguousarray(packed).view(np.uint64)
+    else:
+        order = np.argsort(item, kind="stable")
+        posting, first = owner[order], np.append(0, np.cumsum(times))
+        begins = np.searchsorted(owner, np.arange(n + 1))
+    for i in range(1, n):
+        if dense:
+            shared = np.bitwise_count(packed[:i] & packed[i]).sum(axis=1, dtype=np.int64)
+        else:
+            own = item[begins[i] : begins[i + 1]]
+            lo, span = first[own], first[own + 1] - first[own]
+            at = np.repeat(lo - np.cumsum(span) + span, span) + np.arange(int(span.sum()))
+            shared = np.bincount(posting[at], minlength=n)[:i]
+        near = np.nonzero((shared > 0) & (shared >= similarity * (sizes[i] + sizes[:i] - shared) - 1e-9))[0]
         if side is not None:
             near = near[side[near] != side[i]]
         if len(near):

@@ -238,11 +238,11 @@ def score(docs: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows whose score is below the threshold, with the columns as they are."""
-    kept, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    kept, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, docs.columns[at]):
+            for part in slices(batch, "text"):
                 yield part.filter(pa.array([p < threshold for p, _, _ in kept.value.score(raw_texts(part))]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)
