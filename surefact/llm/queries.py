@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licences, neighbours, packing, secrets, simhash, toxicity, warc
-from .common import doc_bucket, table
+from . import bpe, licences, media, neighbours, ngrams, packing, secrets, simhash, toxicity, warc
+from .common import cut, doc_bucket, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -22,6 +22,10 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(cut(media.store(table(spark, sf_dir, "documents"))))
+
+
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(table(spark, sf_dir, "documents"))
     join = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
@@ -56,6 +60,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(table(spark, sf_dir, "documents"), doc_bucket(F.col("doc_id"), 10) != 0)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
