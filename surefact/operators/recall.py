@@ -44,6 +44,8 @@ def recall(facts: DataFrame, asked: DataFrame, codebook: DataFrame, dim: int = D
         )
 
     schema = "page long, subj string, rel string, top1 string, dot1 long, dot2 long, n long"
+    # Fresh names, so that both sides may come from one frame.
+    asked = asked.select("page", "subj", "rel").toDF("page", "subj", "rel")
     return facts.groupBy("page").cogroup(asked.groupBy("page")).applyInArrow(run, schema)
 
 
