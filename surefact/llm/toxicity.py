@@ -3,8 +3,8 @@
 Terms are the words whose presence tells the two labels apart in the labelled rows (root of the likelihood ratio at least `min_z`; the
 `max_terms` highest); their document frequencies count all documents. The examples are at most `max_examples` labelled
 rows, the smallest by a hash of their id. They stand in blocks of like examples; a table holds each term's
-largest weight per block. A text's blocks are visited by falling bound until no bound beats its k-th
-neighbour, so the neighbours are exact. Votes are weighted by cosine, and a monotone fit on the examples' own
+largest weight per block. The blocks of a text's highest bounds
+give a floor for its k-th neighbour, and only blocks whose bound reaches it are read, so the neighbours are exact. Votes are weighted by cosine, and a monotone fit on the examples' own
 leave-one-out votes turns them into probabilities. Evidence is the neighbours.
 
 Defined results: a null or empty text, or one without a term, gets the share of label 1 among such examples; ties
@@ -78,29 +78,40 @@ class Model:
         w = (1 + np.log(count)) * self.idf[term]
         return w / np.sqrt((w * w).sum())
 
+    def cosines(self, term: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines with all examples of these blocks (0 elsewhere), whole postings at once."""
+        n = max(1, len(self.rows))
+        if 4 * len(blocks) > self.blocks:
+            lo, hi = self.begin[term * self.blocks].tolist(), self.begin[(term + 1) * self.blocks].tolist()
+            doc = np.concatenate([self.post_doc[a:b] for a, b in zip(lo, hi, strict=True)])
+            part = np.concatenate([w * self.post_weight[a:b] for a, b, w in zip(lo, hi, weight.tolist(), strict=True)])
+        else:
+            cells = (term[:, None] * self.blocks + blocks[None, :]).ravel()
+            lo, size = self.begin[cells], self.begin[cells + 1] - self.begin[cells]
+            at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            doc, part = self.post_doc[at], self.post_weight[at] * np.repeat(np.repeat(weight, len(blocks)), size)
+        return np.bincount(doc, weights=part, minlength=n)
+
     def nearest(self, term: np.ndarray, weight: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples with a positive cosine, and the cosines."""
+        """The k nearest examples with a positive cosine, and the cosines.
+
+        The blocks of the highest bounds give a floor; every block whose bound reaches it is then read at once."""
         bound = weight @ self.bound[term]
-        docs, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        floor = 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(docs) >= self.k and bound[b] * (1 + 1e-12) < floor):
-                break
-            acc = np.zeros(BLOCK)
-            cells = term * self.blocks + b
-            for lo, hi, w in zip(self.begin[cells].tolist(), self.begin[cells + 1].tolist(), weight.tolist(), strict=True):
-                if hi > lo:
-                    acc[self.post_doc[lo:hi] - b * BLOCK] += w * self.post_weight[lo:hi]
-            hit = np.nonzero(acc > 0)[0]
-            hit = hit[hit + b * BLOCK != leave]
-            docs, scores = np.append(docs, hit + b * BLOCK), np.append(scores, acc[hit])
-            if len(docs) > self.k:
-                best = np.lexsort((docs, -scores))[: self.k]
-                docs, scores = docs[best], scores[best]
-            if len(docs) >= self.k:
-                floor = scores.min()
-        best = np.lexsort((docs, -scores))
-        return docs[best], scores[best]
+        order = np.argsort(-bound, kind="stable")
+        score = self.cosines(term, weight, order[:2])
+        if leave >= 0:
+            score[leave] = 0
+        floor = np.partition(score, -self.k)[-self.k] if len(score) > self.k else 0.0
+        rest = order[(bound[order] * (1 + 1e-12) >= floor) & (bound[order] > 0)]
+        if len(rest) > 2:
+            score = self.cosines(term, weight, rest)
+            if leave >= 0:
+                score[leave] = 0
+        if len(score) > self.k:
+            floor = np.partition(score, -self.k)[-self.k]
+        docs = np.nonzero((score > 0) & (score >= floor))[0]
+        best = np.lexsort((docs, -score[docs]))[: self.k]
+        return docs[best], score[docs[best]]
 
     def vote(self, docs: np.ndarray, scores: np.ndarray) -> float:
         return float(((scores * self.labels[docs]).sum() + self.prior) / (scores.sum() + 1)) if len(docs) else self.empty
