@@ -280,11 +280,11 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, tile
     """(doc_id, component_id) over links of texts whose sets of word shingles have that Jaccard similarity or more.
 
     Candidates: equal bands (a pair at 0.8 is missed with chance 1e-5) and fingerprints of 256 bits within the
-    bits expected at `similarity` plus four deviations. Every pair within a cluster of candidates is then decided exactly.
+    bits expected at `similarity` plus six deviations (sets of few shingles differ in more bits, as ties of a bit count as 0). Every pair within a cluster of candidates is then decided exactly.
     """
     cosine = 2 * similarity / (1 + similarity)
     differ = float(np.arccos(cosine) / np.pi)
-    radius = int(np.ceil(256 * differ + 4 * np.sqrt(256 * differ * (1 - differ))))
+    radius = int(np.ceil(256 * differ + 6 * np.sqrt(256 * differ * (1 - differ))))
     docs = cut(sketches(df, words))
     nodes = cut(docs.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     loose = components(linked(nodes.select(F.explode("bands").alias("bucket"), "node", "fp"), radius, words=4))
