@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, raw_texts, slices
-from .hashing import SOLID, Chunk, Table
+from .hashing import SOLID, Chunk, Table, mix
 
 VOCABULARY = 60_000
 START = 65_535
@@ -226,7 +226,9 @@ class Model:
 
     def shard(self, pairs: np.ndarray) -> np.ndarray:
         context, word = pairs >> 16, pairs & 0xFFFF
-        return (context * 40503 + (word * 9973 >> 3) % self.split[context]) % self.buckets
+        part = mix(word.astype(np.uint64)) % self.split[context].astype(np.uint64)
+        # Parts of one context follow one another, so that a split context reaches as many shards as it has parts.
+        return ((mix(context.astype(np.uint64)) + part) % np.uint64(self.buckets)).astype(np.int64)
 
     def ids(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words, and pairs (context << 16 | word) text by text with the end: n + 1 for each."""
@@ -351,7 +353,7 @@ def score(docs: DataFrame, trained: Column, buckets: int | None = None) -> DataF
                     some = cell[cuts[b] : cuts[b + 1]]
                     which = (some >> np.uint64(32) & np.uint64(0xFFFFF)).astype("<u4")
                     rows.append((b, PAIRS, squeeze(np.diff(which, prepend=which.dtype.type(0)).astype("<u4"), some.astype("<u4"))))
-                head = (chunk * 31 + 7) % m.buckets
+                head = int(mix(np.array([chunk], dtype=np.uint64))[0] % np.uint64(m.buckets))
                 n, none = len(rows) + 1, [None] * len(rows)
                 yield pa.RecordBatch.from_arrays(
                     [
