@@ -54,7 +54,7 @@ def parse_question(text: Column) -> Column:
     """STRUCT(subj, rel) of the first line "s | r", in parentheses or not; null fields otherwise."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.instr(x, "|") > 0)
     first = F.regexp_replace(F.trim(F.try_element_at(lines, F.lit(1))), r"^\((.*)\)$", "$1")
-    parts = F.transform(F.split(first, r"\|"), F.trim)
+    parts = F.transform(F.split(first, r"\|"), lambda x: F.trim(x))
     fine = (F.size(parts) == 2) & ~F.exists(parts, lambda x: x == "")
     return F.struct(F.when(fine, parts[0]).alias("subj"), F.when(fine, parts[1]).alias("rel"))
 
