@@ -7,7 +7,10 @@ Three passes over the texts, each a map with counts merged before any shuffle:
    split by word. Pairs below `MIN_COUNT` are pruned, their mass goes to the lower order.
 3. every text's rare tokens and pairs travel to the buckets and shards that can answer them; there a trie is
    built in memory-mapped levels (contexts, pointers, words, quantised log probabilities) and queried by
-   successor search within the context's range; only sums per text come back.
+   successor search within the context's range; only sums per text come back. A shard that many pairs ask is
+   several slots, a task each with a copy of the shard; questions take a slot by their chunk of texts.
+
+Merging and answering run over sorted rows, so a task holds one shard and one Arrow batch, however many rows there are.
 
 P(w|v) = max(c(v,w) - D, 0) / c(v) + l(v) P(w), with l(v) what is left of 1; P(w) is the add-0.1 unigram, and a
 word outside the vocabulary takes its share of the class. Tokens are words between white space, A-Z lower-cased, and one
@@ -19,11 +22,10 @@ from __future__ import annotations
 
 import math
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ START = 65_535
 MIN_COUNT, DISCOUNT, ADD = 2, 0.75, 0.1
 END_KEY = np.uint64(0x9E3779B97F4A7C15)  # of the end token
 STEP = 1 / 4096
+PARTS = 4  # a context fills a PARTS-th of a shard's share at most, then it is split
+SLOT = 4_000_000  # pairs that one slot is asked, or a quarter of a task's share if that is more
 FLUSH = 2_000_000
 
 
@@ -171,26 +175,54 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 class Sums:
-    """Counts of keys, merged whenever many have come together."""
+    """Counts of keys, merged whenever as many have come together as were left by the last merge, `FLUSH` at least."""
 
     def __init__(self) -> None:
         self.keys: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
-        self.n = 0
+        self.n, self.room = 0, FLUSH
 
     def add(self, keys: np.ndarray) -> bool:
+        """Counts keys; whether there are many by now."""
         k, c = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(c)
-        self.n += len(k)
+        self.put(k, c)
         return self.n > FLUSH
 
+    def put(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.n += len(keys)
+
+    def shrink(self) -> None:
+        if self.n > self.room:
+            k, c = self.take()
+            self.put(k, c)
+            self.room = max(FLUSH, 2 * len(k))
+
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         out = merged(self.keys, self.counts) if self.keys else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
         self.__init__()  # type: ignore[misc]
         return out
 
 
+def merge_buckets(rows: DataFrame, kind: str, finish: Callable[[int, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """finish(bucket, keys, counts) of each bucket of (bucket, body), counts summed as the rows pass by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = -1, Sums()
+        for batch in batches:
+            for bucket, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != now and now >= 0:
+                    yield finish(now, *sums.take())
+                now = bucket
+                sums.put(*unsqueeze(body, kind, "<u4"))
+                sums.shrink()
+        if now >= 0:
+            yield finish(now, *sums.take())
+
+    return rows.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
 
@@ -220,9 +252,10 @@ class Model:
         # A context that holds more than a shard's share of the tokens is split by word.
         self.split = np.ones(1 << 16, dtype=np.int64)
         share = np.append(total - counts.sum(), counts) / max(1, total)
-        self.split[: len(share)] = np.clip(np.ceil(share * buckets), 1, buckets).astype(np.int64)
-        self.split[START] = max(1, min(buckets, int(share.max(initial=0) * buckets) + 1))
+        self.split[: len(share)] = np.clip(np.ceil(share * buckets * PARTS), 1, buckets).astype(np.int64)
+        self.split[START] = max(1, min(buckets, int(share.max(initial=0) * buckets * PARTS) + 1))
         self.rest, self.seen = np.ones(1 << 16), np.zeros(1 << 16)
+        self.asked = np.zeros(buckets, dtype=np.int64)  # pairs of each shard in training, repeats included
 
     def shard(self, pairs: np.ndarray) -> np.ndarray:
         context, word = pairs >> 16, pairs & 0xFFFF
@@ -230,6 +263,12 @@ class Model:
         # Parts of one context follow one another, so that a split context reaches as many shards as it has parts.
         return ((mix(context.astype(np.uint64)) + part) % np.uint64(self.buckets)).astype(np.int64)
 
+    def slots(self, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first slot of each bucket (and the end), and how many it has: as many as its pairs in training ask for."""
+        most = max(SLOT, int(self.asked.sum()) // (4 * tasks))
+        n = np.maximum(1, -(-self.asked // most))
+        return np.append(0, np.cumsum(n)), n
+
     def ids(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words, and pairs (context << 16 | word) text by text with the end: n + 1 for each."""
         ids = np.maximum(self.table.get(c.key), 0).astype(np.int64)
@@ -259,12 +298,10 @@ def learn(docs: DataFrame, trained: Column, buckets: int) -> tuple[Model, DataFr
             k, n = sums.take()
             yield by_bucket(k, n, bucket_of(k, buckets), buckets, "<u8")
 
-    def merge_words(t: pa.Table) -> pa.Table:
-        own = [unsqueeze(b, "<u8", "<u4") for b in t.column("body").to_pylist()]
-        k, n = merged([x for x, _ in own], [y for _, y in own])
-        return pa.table({"bucket": t.column("bucket").slice(0, 1), "body": pa.array([k.tobytes() + n.astype("<i8").tobytes()], pa.binary()), "n": pa.array([len(k)], pa.int64()), "total": pa.array([int(n.sum())], pa.int64())})
+    def merge_words(bucket: int, k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "body": pa.array([k.tobytes() + n.astype("<i8").tobytes()], pa.binary()), "n": [len(k)], "total": [int(n.sum())]})
 
-    words = cut(src.mapInArrow(unigrams, "bucket int, body binary").groupBy("bucket").applyInArrow(merge_words, "bucket int, body binary, n long, total long"))
+    words = cut(merge_buckets(src.mapInArrow(unigrams, "bucket int, body binary"), "<u8", merge_words, "bucket int, body binary, n long, total long"))
     distinct, total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,20 +327,21 @@ def learn(docs: DataFrame, trained: Column, buckets: int) -> tuple[Model, DataFr
             k, n = sums.take()
             yield by_bucket(k, n, m.shard(k), buckets, "<u4")
 
-    def merge_pairs(t: pa.Table) -> pa.Table:
-        own = [unsqueeze(b, "<u4", "<u4") for b in t.column("body").to_pylist()]
-        k, n = merged([x for x, _ in own], [y for _, y in own])
+    def merge_pairs(bucket: int, k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         context, at = np.unique(k >> 16, return_inverse=True)
-        keep = n >= MIN_COUNT
+        keep, asked = n >= MIN_COUNT, int(n.sum())
         mass = np.bincount(at[keep], weights=n[keep] - DISCOUNT, minlength=len(context))
         whole = np.bincount(at, weights=n, minlength=len(context))
         k, n = k[keep], n[keep]
-        return pa.table(
-            {"bucket": t.column("bucket").slice(0, 1), "body": pa.array([squeeze(k.astype("<u4"), n.astype("<u4")) if len(k) else b""], pa.binary()),
+        return pa.RecordBatch.from_pydict(
+            {"bucket": pa.array([bucket], pa.int32()), "body": pa.array([squeeze(k.astype("<u4"), n.astype("<u4")) if len(k) else b""], pa.binary()), "asked": [asked],
              "context": pa.array([context.astype(np.int32)], pa.list_(pa.int32())), "mass": pa.array([mass], pa.list_(pa.float64())), "whole": pa.array([whole], pa.list_(pa.float64()))}
         )
 
-    counted = cut(src.mapInArrow(pairs, "bucket int, body binary").groupBy("bucket").applyInArrow(merge_pairs, "bucket int, body binary, context array<int>, mass array<double>, whole array<double>"))
+    counted = cut(merge_buckets(src.mapInArrow(pairs, "bucket int, body binary"), "<u4", merge_pairs, "bucket int, body binary, asked long, context array<int>, mass array<double>, whole array<double>"))
+    # One row for each bucket.
+    for bucket, asked in counted.select("bucket", "asked").collect():
+        model.asked[bucket] = asked
     # One row for each context at most: a bound by the vocabulary.
     sums = counted.select(F.explode(F.arrays_zip("context", "mass", "whole")).alias("x")).groupBy("x.context").agg(F.sum("x.mass").alias("mass"), F.sum("x.whole").alias("whole")).toArrow()
     c, mass, whole = (sums.column(k).to_numpy() for k in ("context", "mass", "whole"))
@@ -320,11 +358,14 @@ def halves(body: bytes) -> tuple[np.ndarray, np.ndarray]:
 def score(docs: DataFrame, trained: Column, buckets: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all rows of (doc_id, text)."""
     spark = docs.sparkSession
-    n_buckets = buckets or min(4096, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    model, words, pairs = learn(docs, trained, n_buckets)
+    tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    model, words, pairs = learn(docs, trained, buckets or min(4096, tasks))
+    first, n_slots = model.slots(tasks)
     kept = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    REPLY, RARE, PAIRS = 0, 1, 2
+    WORDS, TRIE, HEAD, RARE, PAIRS = range(5)  # rows of a slot come in this order
+    names = ["chunk", "slot", "kind", "body", "ids", "held"]
+    message = f"chunk long, slot int, kind int, body binary, ids array<{kind}>, held array<boolean>"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each chunk of texts: what is known of them here, and a question to each bucket and shard."""
@@ -338,6 +379,8 @@ def score(docs: DataFrame, trained: Column, buckets: int | None = None) -> DataF
                 end = max(0, int(m.table.get(np.array([END_KEY]))[0]))
                 base = np.bincount(c.word_doc, weights=np.where(ids > 0, m.base[ids], 0), minlength=c.n) + m.base[end]
                 known = np.bincount(c.word_doc[ids > 0], minlength=c.n) + int(m.counts[end] > 0)
+                lot = int(mix(np.array([chunk], dtype=np.uint64))[0] >> np.uint64(1))
+                slot = (first[:-1] + lot % n_slots).tolist()
                 rows: list[tuple[int, int, bytes]] = []
                 rare = np.nonzero(ids == 0)[0]
                 bucket = bucket_of(c.key[rare], m.buckets)
@@ -345,94 +388,89 @@ def score(docs: DataFrame, trained: Column, buckets: int | None = None) -> DataF
                 cuts = np.searchsorted(bucket[order], np.arange(m.buckets + 1))
                 for b in np.nonzero(np.diff(cuts))[0].tolist():
                     at = rare[order[cuts[b] : cuts[b + 1]]]
-                    rows.append((b, RARE, squeeze(c.word_doc[at].astype("<u4"), c.key[at])))
+                    rows.append((slot[b], RARE, squeeze(c.word_doc[at].astype("<u4"), c.key[at])))
                 doc = np.repeat(np.arange(c.n), c.counts + 1)
                 cell = np.sort(m.shard(own).astype(np.uint64) << np.uint64(52) | doc.astype(np.uint64) << np.uint64(32) | own.astype(np.uint64))
                 cuts = np.searchsorted(cell >> np.uint64(52), np.arange(m.buckets + 1))
                 for b in np.nonzero(np.diff(cuts))[0].tolist():
                     some = cell[cuts[b] : cuts[b + 1]]
                     which = (some >> np.uint64(32) & np.uint64(0xFFFFF)).astype("<u4")
-                    rows.append((b, PAIRS, squeeze(np.diff(which, prepend=which.dtype.type(0)).astype("<u4"), some.astype("<u4"))))
-                head = int(mix(np.array([chunk], dtype=np.uint64))[0] % np.uint64(m.buckets))
-                n, none = len(rows) + 1, [None] * len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([chunk] * n, pa.int64()), pa.array([r[0] for r in rows] + [head], pa.int32()), pa.array([r[1] for r in rows] + [REPLY], pa.int32()), pa.array([r[2] for r in rows] + [None], pa.binary()),
-                        pa.array([*none, part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([*none, part.column(1).to_pylist()], pa.list_(pa.bool_())), pa.array([*none, (c.counts + 1)], pa.list_(pa.int64())),
-                        pa.array([*none, known], pa.list_(pa.int64())), pa.array([*none, base], pa.list_(pa.float64())), pa.array([*none, np.zeros(c.n)], pa.list_(pa.float64())),
-                    ],
-                    NAMES,
-                )
+                    rows.append((slot[b], PAIRS, squeeze(np.diff(which, prepend=which.dtype.type(0)).astype("<u4"), some.astype("<u4"))))
+                rows.append((lot % int(first[-1]), HEAD, squeeze((c.counts + 1).astype("<i8"), known.astype("<i8"), base)))
+                none = [None] * (len(rows) - 1)
+                columns = [pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())]
+                columns += [pa.array([*none, part.column(k).to_pylist()], pa.list_(part.column(k).type)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, names)
                 chunk += 1
 
-    NAMES = ["chunk", "bucket", "kind", "body", "ids", "held", "tokens", "known", "base", "score"]
-    message = f"chunk long, bucket int, kind int, body binary, ids array<{kind}>, held array<boolean>, tokens array<long>, known array<long>, base array<double>, score array<double>"
-
-    def answer(asked: pa.Table, words_: pa.Table, pairs_: pa.Table) -> pa.Table | None:
-        """The replies of one bucket: rare tokens' sums, pairs' sums; what is no question passes through."""
-        m = kept.value
-        keys, counts = halves(words_[0]) if words_ else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-        rare_mass = math.log10(m.unigram[0])
-        trie = None
-        if pairs_:
-            k, n = unsqueeze(pairs_[0], "<u4", "<u4")
-            context, word = (k >> 16).astype(np.int64), (k & 0xFFFF).astype(np.int64)
-            p = (n - DISCOUNT) / m.seen[context] + m.rest[context] * m.unigram[word]
-            trie = Trie(context, word, np.clip(np.round(-np.log10(p) / STEP), 0, 65535))
-        lower, rest = np.log10(m.unigram), np.log10(m.rest)
-        out: dict[int, list[np.ndarray]] = {}
-        names = asked.column("chunk").to_pylist()
-        for chunk, what, body in zip(names, asked.column("kind").to_pylist(), asked.column("body").to_pylist(), strict=True):
-            if what == REPLY:
-                continue
-            if what == RARE:
-                doc, key = unsqueeze(body, "<u4", "<u8")
-                at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-                c = np.where(keys[at] == key, counts[at], 0) if len(keys) else np.zeros(len(key))
-                own = np.log10((c + ADD) / m.floor)
-                size = int(doc.max()) + 1
-                parts = [np.bincount(doc[c > 0], minlength=size), np.bincount(doc, weights=own, minlength=size), np.bincount(doc, weights=own - rare_mass, minlength=size)]
-            else:
-                step, pair = unsqueeze(body, "<u4", "<u4")
-                doc = np.cumsum(step)
-                context, word = (pair >> 16).astype(np.int64), (pair & 0xFFFF).astype(np.int64)
-                code = trie.find(context, word) if trie else np.full(len(pair), -1)
-                got = np.where(code >= 0, -STEP * code, rest[context] + lower[word])
-                size = int(doc.max()) + 1
-                parts = [np.zeros(size), np.zeros(size), np.bincount(doc, weights=got, minlength=size)]
-            have = out.setdefault(chunk, [np.zeros(0)] * 3)
-            for k in range(3):
-                a, b = (have[k], parts[k]) if len(have[k]) >= len(parts[k]) else (parts[k], have[k])
-                a = a.astype(np.float64)
-                a[: len(b)] += b
-                have[k] = a
-        through = asked.filter(pc.equal(asked.column("kind"), REPLY))
-        n = len(out)
-        replies = pa.table(
-            {"chunk": pa.array(list(out), pa.int64()), "bucket": pa.array([0] * n, pa.int32()), "kind": pa.array([PAIRS] * n, pa.int32()), "body": pa.array([None] * n, pa.binary()),
-             "ids": pa.nulls(n, through.schema.field("ids").type), "held": pa.nulls(n, through.schema.field("held").type), "tokens": pa.nulls(n, through.schema.field("tokens").type),
-             "known": pa.array([x[0].astype(np.int64) for x in out.values()], pa.list_(pa.int64())), "base": pa.array([x[1] for x in out.values()], pa.list_(pa.float64())), "score": pa.array([x[2] for x in out.values()], pa.list_(pa.float64()))}
-        ).cast(through.schema)
-        return pa.concat_tables([through, replies])
-
-    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = {what: [b for b, w in zip(right.column("body").to_pylist(), right.column("what").to_pylist(), strict=True) if w == what and b] for what in ("words", "pairs")}
-        return answer(left, own["words"], own["pairs"]) if left.num_rows else left
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A reply to each question, by the counts and the trie that stand before it; heads pass through."""
+        m, now = kept.value, -1
+        lower, rest, rare_mass = np.log10(m.unigram), np.log10(m.rest), math.log10(m.unigram[0])
+        keys, counts, trie = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), None
+        for batch in batches:
+            slot, what, bodies = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            at: list[int] = []
+            replies: list[bytes] = []
+            for row in range(batch.num_rows):
+                if slot[row] != now:
+                    now, keys, counts, trie = slot[row], np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), None
+                body = bodies[row]
+                if what[row] == WORDS:
+                    keys, counts = halves(body)
+                elif what[row] == TRIE:
+                    if body:
+                        k, n = unsqueeze(body, "<u4", "<u4")
+                        context, word = (k >> 16).astype(np.int64), (k & 0xFFFF).astype(np.int64)
+                        p = (n - DISCOUNT) / m.seen[context] + m.rest[context] * m.unigram[word]
+                        trie = Trie(context, word, np.clip(np.round(-np.log10(p) / STEP), 0, 65535))
+                elif what[row] == HEAD:
+                    at.append(row)
+                    replies.append(body)
+                elif what[row] == RARE:
+                    doc, key = unsqueeze(body, "<u4", "<u8")
+                    place = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+                    c = np.where(keys[place] == key, counts[place], 0) if len(keys) else np.zeros(len(key))
+                    own = np.log10((c + ADD) / m.floor)
+                    some, doc = np.unique(doc, return_inverse=True)
+                    known = np.bincount(doc[c > 0], minlength=len(some))
+                    base = np.bincount(doc, weights=own, minlength=len(some))
+                    at.append(row)
+                    replies.append(squeeze(some.astype("<u4"), known.astype("<u4"), base, np.bincount(doc, weights=own - rare_mass, minlength=len(some))))
+                else:
+                    step, pair = unsqueeze(body, "<u4", "<u4")
+                    context, word = (pair >> 16).astype(np.int64), (pair & 0xFFFF).astype(np.int64)
+                    code = trie.find(context, word) if trie else np.full(len(pair), -1)
+                    got = np.where(code >= 0, -STEP * code, rest[context] + lower[word])
+                    begin = np.nonzero(np.append(True, step[1:] > 0))[0]
+                    at.append(row)
+                    replies.append(squeeze(np.cumsum(step)[begin].astype("<u4"), np.add.reduceat(got, begin)))
+            if at:
+                out = batch.take(pa.array(at))
+                yield out.set_column(3, "body", pa.array(replies, pa.binary()))
 
     def finish(t: pa.Table) -> pa.Table:
-        m, kinds = kept.value, t.column("kind").to_pylist()
-        head = kinds.index(REPLY)
-        ids, held, tokens = (t.column(k).slice(head, 1).combine_chunks().flatten() for k in ("ids", "held", "tokens"))
-        sums = [np.zeros(len(ids)) for _ in range(3)]
+        kinds, bodies = t.column("kind").to_pylist(), t.column("body").to_pylist()
+        head = kinds.index(HEAD)
+        ids, held = (t.column(k).slice(head, 1).combine_chunks().flatten() for k in ("ids", "held"))
+        tokens, known, base = unsqueeze(bodies[head], "<i8", "<i8", "<f8")
+        total = np.zeros(len(ids))
         # In one order, so that sums are the same in every run.
-        rows = sorted(zip(*(t.column(k).to_pylist() for k in ("known", "base", "score")), strict=True), key=repr)
-        for row in rows:
-            for k, x in enumerate(row):
-                sums[k][: len(x)] += x
-        n = len(ids)
-        return pa.table({"doc_id": ids, "held_out": held, "n_tokens": tokens, "n_known": pa.array(sums[0].astype(np.int64)), "train_tokens": pa.array([m.total] * n, pa.int64()), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
-
+        for what, body in sorted((k, b) for k, b in zip(kinds, bodies, strict=True) if k != HEAD):
+            if what == RARE:
+                doc, more, own, gain = unsqueeze(body, "<u4", "<u4", "<f8", "<f8")
+                known[doc] += more
+                base[doc] += own
+            else:
+                doc, gain = unsqueeze(body, "<u4", "<f8")
+            total[doc] += gain
+        return pa.table({"doc_id": ids, "held_out": held, "n_tokens": tokens, "n_known": known, "train_tokens": pa.array([kept.value.total] * len(ids), pa.int64()), "base_score": base, "score": total})
+
+    # A row for each bucket at most; its shard is copied to each of its slots.
+    places = spark.createDataFrame([(b, int(first[b]), int(n)) for b, n in enumerate(n_slots)], "bucket int, first int, n int")
+    shards = words.withColumn("kind", F.lit(WORDS)).unionByName(pairs.withColumn("kind", F.lit(TRIE))).join(F.broadcast(places), "bucket")
+    shards = shards.select(F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"), "kind", "body")
     asked = docs.select("doc_id", (~trained).alias("held"), "text").mapInArrow(ask, message)
-    models = words.withColumn("what", F.lit("words")).unionByName(pairs.withColumn("what", F.lit("pairs")))
-    replies = asked.groupBy("bucket").cogroup(models.groupBy("bucket")).applyInArrow(answered, message)
+    rows = asked.unionByName(shards, allowMissingColumns=True).repartitionById(int(first[-1]), F.col("slot")).sortWithinPartitions("slot", "kind")
+    replies = rows.mapInArrow(answer, message)
     return replies.groupBy("chunk").applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
