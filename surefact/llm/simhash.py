@@ -3,8 +3,9 @@
 Fingerprints are compared tile against tile with exclusive-or and bit counts; tiles stand in order of their
 population counts, and a pair of tiles whose counts differ by more than the radius is skipped. So that no
 task sees all fingerprints, they are first dealt to buckets without losing a link: fingerprints within r bits
-agree on at least one of r + 1 blocks of bits. A bucket beyond `TILE` rows is dealt on as pairs of sub-buckets, so
-a hot bucket is many tasks. A task returns a spanning forest of the links it finds, which loses no component.
+agree on at least one of r + 1 blocks of bits. Of a bucket beyond `TILE` rows, those near its smallest node are linked to
+it first and are not compared among themselves; the rest is dealt on as pairs of sub-buckets, so a hot bucket is many
+tasks. A task returns a spanning forest of the links it finds, which loses no component.
 
 `near_duplicates` is the operator for a similarity bound: wide fingerprints of word shingles, buckets by
 bands of min-hashes, a loose radius, then exact Jaccard of the shingle sets within each cluster.
@@ -126,19 +127,30 @@ def compare(fps: np.ndarray, radius: int, side: np.ndarray | None = None) -> tup
 
 
 def deal(rows: DataFrame, tile: int = TILE) -> DataFrame:
-    """Adds `key` and `side` to rows of (bucket, node, ...): a bucket of one is dropped, one of up to `tile` rows is a
-    group, a larger one is all pairs of its sub-buckets."""
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    m = F.ceil(F.col("n") / tile).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("m")).cast("int")
+    """Adds `key` and `side` to rows of (bucket, node, done, ...): a bucket of one is dropped, one of up to `tile` rows is a
+    group, a larger one is pairs of its sub-buckets. Rows that are done are linked to the bucket's hub already, so they
+    meet only those that are not."""
+    sizes = rows.groupBy("bucket").agg(F.count_if("done").alias("hubbed"), F.count_if(~F.col("done")).alias("open")).where("open > 0 and hubbed + open > 1")
+    parts = lambda c: F.ceil(F.col(c) / tile).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("node", F.lit(7)), F.greatest(F.col(c), F.lit(1))).cast("int")
     return (
-        rows.join(sizes, "bucket").withColumn("m", m).withColumn("side", own).drop("n")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        rows.join(sizes, "bucket").withColumns({"h": parts("hubbed"), "m": parts("open")}).drop("hubbed", "open")
+        .withColumn("side", F.when(F.col("done"), F.col("m") + own("h")).otherwise(own("m")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("done"), F.col("m") - 1).otherwise(F.col("m") + F.col("h") - 1))))
         .withColumn("key", F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other")))
-        .drop("m", "other", "bucket")
+        .drop("m", "h", "other", "bucket", "done")
     )
 
 
+def to_hubs(rows: DataFrame, sizes: DataFrame, radius: int, words: int, tile: int) -> DataFrame:
+    """(bucket, node, fp, hub, done) of the buckets beyond a tile: whether a row lies within the radius of its bucket's smallest
+    node. A bucket of many near copies is one star, which spares the pairs among its rows."""
+    large = rows.join(sizes.where(F.col("n") > tile).select("bucket"), "bucket")
+    hubs = large.groupBy("bucket").agg(F.min("node").alias("hub"), F.min_by("fp", "node").alias("to"))
+    far = sum((F.bit_count(F.col("fp")[k].bitwiseXOR(F.col("to")[k])) for k in range(words)), F.lit(0))
+    return cut(large.join(hubs, "bucket").select("bucket", "node", "fp", "hub", (far <= radius).alias("done")))
+
+
 def linked(rows: DataFrame, radius: int, words: int = 1, tile: int = TILE) -> DataFrame:
     """Links (a, b) that span what lies within the radius in each bucket, of rows (bucket long, node long, fp array<long>)."""
 
@@ -159,7 +171,12 @@ def linked(rows: DataFrame, radius: int, words: int = 1, tile: int = TILE) -> Da
             return None
         return pa.table({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
 
-    return by_runs(deal(rows, tile), "key", find, "a long, b long").distinct()
+    sizes = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    starred = to_hubs(rows, sizes, radius, words, tile)
+    small = rows.join(sizes.where(F.col("n") <= tile).select("bucket"), "bucket").select("node", "fp", F.lit(0).alias("side"), F.xxhash64("bucket").alias("key"))
+    groups = small.unionByName(deal(starred.select("bucket", "node", "fp", "done"), tile).select("node", "fp", "side", "key"))
+    star = starred.where("done and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return by_runs(groups, "key", find, "a long, b long").union(star).distinct()
 
 
 def blocks(nodes: DataFrame, radius: int) -> DataFrame:
@@ -243,7 +260,7 @@ def jaccard_links(sets: list[np.ndarray], similarity: float, side: np.ndarray |
     kept = times[item] > 1
     _, item = np.unique(item[kept], return_inverse=True)
     owner, times = owner[kept], times[times > 1]
-    forest = Forest(n)
+    label, links = np.arange(n), []
     columns = -(-len(times) // 64)
     dense = n * n * columns < 20 * int((times * times).sum()) and n * columns < 1 << 24
     if dense:
@@ -270,10 +287,41 @@ def jaccard_links(sets: list[np.ndarray], similarity: float, side: np.ndarray |
         near = np.nonzero((shared > 0) & (shared >= similarity * (sizes[i] + sizes[:i] - shared) - 1e-9))[0]
         if side is not None:
             near = near[side[near] != side[i]]
-        if len(near):
-            forest.join(np.full(len(near), i), near)
-    links = np.array(forest.links, dtype=np.int64).reshape(-1, 2)
-    return links[:, 0], links[:, 1]
+        near = near[label[near] != label[i]]
+        while len(near):
+            links.append((i, int(near[0])))
+            label[label == label[near[0]]] = label[i]
+            near = near[label[near] != label[i]]
+    found = np.array(links, dtype=np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def text_hubs(df: DataFrame, loose: DataFrame, words: int, similarity: float, tile: int) -> DataFrame:
+    """(bucket, node, hub, done) of the clusters (node, root) beyond a tile: whether a text's similarity to that of its cluster's
+    smallest node is enough. A cluster is parts of a tile; each part's rows pass by a copy of the hub's set."""
+    sizes = loose.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).withColumn("m", F.ceil(F.col("n") / tile).cast("int"))
+    own = F.array(F.pmod(F.xxhash64("node", F.lit(11)), F.col("m")).cast("int"))
+    parts = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(own)
+    rows = loose.join(sizes, "root").select("node", "root", F.explode(parts).alias("part"), (F.col("node") != F.col("root")).alias("late"))
+    # One text for each node: repeated ids come as one of their rows.
+    rows = rows.join(df.select(F.col("doc_id").alias("node"), "text"), "node").dropDuplicates(["node", "part"]).withColumn("key", F.xxhash64("root", "part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                done = []
+                for late, text in zip(part.column(2).to_pylist(), raw_texts(part), strict=True):
+                    own = np.unique(shingle_hashes(text, words))
+                    if not late:
+                        hub = own
+                    shared = len(np.intersect1d(own, hub, assume_unique=True))
+                    done.append(not late or (shared > 0 and shared >= similarity * (len(own) + len(hub) - shared) - 1e-9))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(done, pa.bool_())], ["root", "node", "late", "done"])
+
+    rows = rows.repartition(F.col("key")).sortWithinPartitions("key", "late").select("root", "node", "late", "text")
+    found = cut(rows.mapInArrow(run, "root long, node long, late boolean, done boolean"))
+    return found.select(F.col("root").alias("bucket"), "node", F.col("root").alias("hub"), "done").dropDuplicates(["node"])
 
 
 def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = 1024) -> DataFrame:
@@ -287,9 +335,11 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, tile
     radius = int(np.ceil(256 * differ + 6 * np.sqrt(256 * differ * (1 - differ))))
     docs = cut(sketches(df, words))
     nodes = cut(docs.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    loose = components(linked(nodes.select(F.explode("bands").alias("bucket"), "node", "fp"), radius, words=4))
+    loose = cut(components(linked(nodes.select(F.explode("bands").alias("bucket"), "node", "fp"), radius, words=4)))
     # The exact pass reads the whole texts of clustered nodes only, each cluster as groups of bounded size.
-    chosen = df.select(F.col("doc_id").alias("node"), "text").join(loose, "node").select(F.col("root").alias("bucket"), "node", "text").dropDuplicates(["node"])
+    starred = text_hubs(df, loose, words, similarity, tile)
+    of_loose = loose.join(starred.select("node", "done"), "node", "left").select("node", F.col("root").alias("bucket"), F.coalesce("done", F.lit(False)).alias("done"))
+    chosen = df.select(F.col("doc_id").alias("node"), "text").join(of_loose, "node").dropDuplicates(["node"])
 
     def decide(t: pa.Table) -> pa.Table | None:
         node, side = t.column("node").to_numpy(), t.column("side").to_numpy()
@@ -303,7 +353,8 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, tile
             return None
         return pa.table({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
 
-    roots = components(by_runs(deal(chosen, tile), "key", decide, "a long, b long"))
+    star = starred.where("done and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    roots = components(by_runs(deal(chosen, tile), "key", decide, "a long, b long").union(star))
     of = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
     return docs.join(of, "same", "left").select("doc_id", "component_id")
 
