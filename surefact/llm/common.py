@@ -71,3 +71,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A frame of a few numbers a row as one side of a join: broadcast where it was counted to have at most `most` rows, which
+    spares the shuffle of the other side; shuffled like any other beyond."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids

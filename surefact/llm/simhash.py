@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, raw_texts, slices
+from .common import counted, cut, raw_texts, slices
 from .grouping import Forest, by_runs, components, runs
 from .hashing import mix
 
@@ -145,7 +145,7 @@ def deal(rows: DataFrame, tile: int = TILE) -> DataFrame:
 def to_hubs(rows: DataFrame, sizes: DataFrame, radius: int, words: int, tile: int) -> DataFrame:
     """(bucket, node, fp, hub, done) of the buckets beyond a tile: whether a row lies within the radius of its bucket's smallest
     node. A bucket of many near copies is one star, which spares the pairs among its rows."""
-    large = rows.join(sizes.where(F.col("n") > tile).select("bucket"), "bucket")
+    large = rows.join(counted(sizes.where(F.col("n") > tile).select("bucket")), "bucket")
     hubs = large.groupBy("bucket").agg(F.min("node").alias("hub"), F.min_by("fp", "node").alias("to"))
     far = sum((F.bit_count(F.col("fp")[k].bitwiseXOR(F.col("to")[k])) for k in range(words)), F.lit(0))
     return cut(large.join(hubs, "bucket").select("bucket", "node", "fp", "hub", (far <= radius).alias("done")))
@@ -302,9 +302,9 @@ def text_hubs(df: DataFrame, loose: DataFrame, words: int, similarity: float, ti
     sizes = loose.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).withColumn("m", F.ceil(F.col("n") / tile).cast("int"))
     own = F.array(F.pmod(F.xxhash64("node", F.lit(11)), F.col("m")).cast("int"))
     parts = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(own)
-    rows = loose.join(sizes, "root").select("node", "root", F.explode(parts).alias("part"), (F.col("node") != F.col("root")).alias("late"))
+    rows = cut(loose.join(sizes, "root").select("node", "root", F.explode(parts).alias("part"), (F.col("node") != F.col("root")).alias("late")))
     # One text for each node: repeated ids come as one of their rows.
-    rows = rows.join(df.select(F.col("doc_id").alias("node"), "text"), "node").dropDuplicates(["node", "part"]).withColumn("key", F.xxhash64("root", "part"))
+    rows = df.select(F.col("doc_id").alias("node"), "text").join(counted(rows), "node").dropDuplicates(["node", "part"]).withColumn("key", F.xxhash64("root", "part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = np.zeros(0, dtype=np.uint64)
