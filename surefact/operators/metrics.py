@@ -29,7 +29,7 @@ def best_threshold(df: DataFrame, keys: list[str], u: str, hit: str) -> DataFram
     w = Window.partitionBy(*keys)
     before = w.orderBy(u).rowsBetween(Window.unboundedPreceding, -1)
     p, n = F.coalesce(F.sum("p").over(before), F.lit(0)), F.coalesce(F.sum("n").over(before), F.lit(0))
-    acc = 0.5 * (p / F.sum("p").over(w) + (F.sum("n").over(w) - n) / F.sum("n").over(w))
+    acc = 0.5 * (F.try_divide(p, F.sum("p").over(w)) + F.try_divide(F.sum("n").over(w) - n, F.sum("n").over(w)))
     best = per.select(*keys, F.col(u).alias("threshold"), acc.alias("acc"))
     return best.groupBy(*keys).agg(F.min_by("threshold", F.struct(-F.col("acc"), F.col("threshold"))).alias("threshold"), F.max("acc").alias("balanced_accuracy"))
 
