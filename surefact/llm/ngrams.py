@@ -1,19 +1,22 @@
 """Language-model scores from an Elias-Fano bigram trie that is trained and queried in shards.
 
-Three passes over the texts, each a map with counts merged before any shuffle:
-
-1. unigram counts of all tokens, in buckets by hash. The `VOCABULARY` most frequent get numbers; others are one class.
-2. counts of number pairs (context, word), in shards by context; a context that would overfill a shard is
-   split by word. Pairs below `MIN_COUNT` are pruned, their mass goes to the lower order.
-3. every text's rare tokens and pairs travel to the buckets and shards that can answer them; there a trie is
+Every word of the training counts is a word of the model. The `NUMBERED` most frequent have 16-bit numbers that all tasks know;
+the others ("rare" below) go by their 64-bit hash and live in the bucket of that hash. The numbers only make messages short:
+scores do not depend on how many there are. All pairs are kept, those seen once too. Passes over the texts, counts merged before any shuffle:
+
+1. unigram counts of all tokens, in buckets by hash.
+2. counts of pairs (context, word). Pairs of numbers are in shards by context; a context that would overfill a shard is split
+   by word. A rare word's pairs with numbers before and after it are in its own bucket. A pair of rare words is counted in
+   the bucket of its word, where it gets that word's count, and stays in the bucket of its context.
+3. every text's pairs and rare words travel to the buckets and shards that can answer them; there tries are
    built in memory-mapped levels (contexts, pointers, words, quantised log probabilities) and queried by
-   successor search within the context's range; only sums per text come back. A shard that many pairs ask is
-   several slots, a task each with a copy of the shard; questions take a slot by their chunk of texts.
+   successor search; only sums per text come back. A shard that many pairs ask is several slots, a task each
+   with a copy of the shard; questions take a slot by their chunk of texts.
 
 Merging and answering run over sorted rows, so a task holds one shard and one Arrow batch, however many rows there are.
 
-P(w|v) = max(c(v,w) - D, 0) / c(v) + l(v) P(w), with l(v) what is left of 1; P(w) is the add-0.1 unigram, and a
-word outside the vocabulary takes its share of the class. Tokens are words between white space, A-Z lower-cased, and one
+P(w|v) = max(c(v,w) - D, 0) / c(v) + l(v) P(w), with l(v) what is left of 1; P(w) is the add-0.1 unigram; a
+word that training never saw has c = 0. Tokens are words between white space, A-Z lower-cased, and one
 end per text. Defined results: a null or empty text is its end token; repeated rows each get a row and each count in
 training; an empty training set gives c = N = V = 0.
 """
@@ -33,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import cut, raw_texts, slices
 from .hashing import SOLID, Chunk, Table, mix
 
-VOCABULARY = 60_000
+NUMBERED = 60_000
 START = 65_535
-MIN_COUNT, DISCOUNT, ADD = 2, 0.75, 0.1
+DISCOUNT, ADD = 0.75, 0.1
 END_KEY = np.uint64(0x9E3779B97F4A7C15)  # of the end token
 STEP = 1 / 4096
 PARTS = 4  # a context fills a PARTS-th of a shard's share at most, then it is split
@@ -105,14 +108,16 @@ class Monotone:
         high = (values >> np.uint64(self.low)).astype(np.int64)
         at, end = self.before(high), self.before(high + 1)
         want = values & np.uint64((1 << self.low) - 1)
-        equal = np.zeros(len(values), dtype=bool)
-        live = np.nonzero(at < end)[0]
+        # By halves: a frequent context has many words under one value of the high bits.
+        stop, live = end.copy(), np.nonzero(at < end)[0]
         while len(live):
-            got = self.low_bits(at[live])
-            equal[live[got == want[live]]] = True
-            live = live[got < want[live]]
-            at[live] += 1
-            live = live[at[live] < end[live]]
+            mid = (at[live] + stop[live]) >> 1
+            less = self.low_bits(mid) < want[live]
+            at[live[less]] = mid[less] + 1
+            stop[live[~less]] = mid[~less]
+            live = live[at[live] < stop[live]]
+        equal = at < end
+        equal[equal] = self.low_bits(at[equal]) == want[equal]
         return at, equal
 
 
@@ -121,9 +126,10 @@ class Trie:
 
     def __init__(self, context: np.ndarray, word: np.ndarray, code: np.ndarray):
         """Pairs sorted by context, then word."""
+        self.bits = np.uint64(max(16, int(word.max(initial=0)).bit_length()))
         names, begin = np.unique(context, return_index=True)
         rank = np.searchsorted(names, context)
-        levels = [Monotone.build(names), Monotone.build(begin), Monotone.build((rank.astype(np.uint64) << np.uint64(16)) | word.astype(np.uint64))]
+        levels = [Monotone.build(names), Monotone.build(begin), Monotone.build((rank.astype(np.uint64) << self.bits) | word.astype(np.uint64))]
         arrays = [x for m in levels for x in (m.upper, m.lower, m.zeros)] + [code.astype(np.uint16)]
         self.bytes = sum(x.nbytes for x in arrays)
         mapped = []
@@ -140,9 +146,9 @@ class Trie:
         self.codes = mapped[-1]
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The codes of pairs, -1 where they were pruned or never seen: the word is sought relative to its context's rank."""
+        """The codes of pairs, -1 where they were never seen: the word is sought relative to its context's rank."""
         rank, known = self.contexts.successor(context)
-        at, equal = self.words.successor((rank.astype(np.uint64) << np.uint64(16)) | word.astype(np.uint64))
+        at, equal = self.words.successor((rank.astype(np.uint64) << self.bits) | word.astype(np.uint64))
         hit = known & equal
         out = np.full(len(context), -1, dtype=np.int64)
         out[hit] = self.codes[at[hit]]
@@ -236,9 +242,11 @@ def by_bucket(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray, n: int,
 
 
 class Model:
-    """What every task needs, of fixed size: the vocabulary's keys and counts, context rests, totals."""
+    """What every task needs, of fixed size: the numbered words' keys and counts, context rests, totals."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, distinct: int, buckets: int):
+        if END_KEY not in keys:  # nothing to train on
+            keys, counts = np.append(keys, END_KEY), np.append(counts, 0)
         self.table = Table(max(1, len(keys)))
         if len(keys):
             self.table.put(keys, np.arange(1, len(keys) + 1, dtype=np.int32))
@@ -246,12 +254,10 @@ class Model:
         self.floor = total + ADD * (distinct + 1)
         self.counts = np.append(0, counts).astype(np.float64)
         self.base = np.log10((self.counts + ADD) / self.floor)
-        p = (self.counts + ADD) / self.floor
-        p[0] = max(1 - p[1:].sum(), ADD / self.floor)
-        self.unigram = p
+        self.unigram = (self.counts + ADD) / self.floor
         # A context that holds more than a shard's share of the tokens is split by word.
         self.split = np.ones(1 << 16, dtype=np.int64)
-        share = np.append(total - counts.sum(), counts) / max(1, total)
+        share = np.append(0, counts) / max(1, total)
         self.split[: len(share)] = np.clip(np.ceil(share * buckets * PARTS), 1, buckets).astype(np.int64)
         self.split[START] = max(1, min(buckets, int(share.max(initial=0) * buckets * PARTS) + 1))
         self.rest, self.seen = np.ones(1 << 16), np.zeros(1 << 16)
@@ -270,9 +276,9 @@ class Model:
         return np.append(0, np.cumsum(n)), n
 
     def ids(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words, and pairs (context << 16 | word) text by text with the end: n + 1 for each."""
+        """Numbers of the words (0: rare), and pairs (context << 16 | word) text by text with the end: n + 1 for each."""
         ids = np.maximum(self.table.get(c.key), 0).astype(np.int64)
-        end = int(max(0, self.table.get(np.array([END_KEY]))[0]))
+        end = int(self.table.get(np.array([END_KEY]))[0])
         stops = np.cumsum(c.counts + 1)
         place = np.arange(len(ids)) + c.word_doc
         word = np.full(int(stops[-1]), end, dtype=np.int64)
@@ -281,9 +287,39 @@ class Model:
         context[stops - c.counts - 1] = START
         return ids, context << 16 | word
 
+    def rare(self, c: Chunk, ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the rare words, (number before << 16 | number after) of each, 0 for a rare one; places of those that a rare one follows."""
+        at = np.nonzero(ids == 0)[0]
+        cell = at + c.word_doc[at]  # the pair that ends in the word; the next one begins with it
+        around = (own[cell] >> 16 << 16 | own[cell + 1] & 0xFFFF).astype("<u4")
+        return at, around, at[own[cell + 1] == 0]
+
+
+def tally(keys: tuple[np.ndarray, ...], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the key columns in order, the first column leading, and their counts."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    first = np.zeros(len(order), dtype=bool)
+    first[:1] = True
+    for k in keys:
+        first[1:] |= k[1:] != k[:-1]
+    at = np.nonzero(first)[0]
+    n = np.diff(np.append(at, len(order))) if counts is None else np.add.reduceat(counts[order].astype(np.int64), at) if len(at) else counts.astype(np.int64)
+    return [k[at] for k in keys], n
+
+
+def bodies_by(bucket: np.ndarray, n: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, body) of rows that stand by bucket."""
+    cuts = np.searchsorted(bucket, np.arange(n + 1))
+    for b in np.nonzero(np.diff(cuts))[0].tolist():
+        yield b, squeeze(*(x[cuts[b] : cuts[b + 1]] for x in columns))
+
+
+WORDS, TRIE, NEAR, FAR, HEAD, RARE, RARE_PAIRS, PAIRS = range(8)  # rows of a slot come in this order
+
 
-def learn(docs: DataFrame, trained: Column, buckets: int) -> tuple[Model, DataFrame, DataFrame]:
-    """The model, unigram counts (bucket, body) and pair counts (bucket, body) of the rows where `trained` holds."""
+def learn(docs: DataFrame, trained: Column, buckets: int, numbered: int) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, unigram counts (bucket, body) and pair counts (bucket, kind, body) of the rows where `trained` holds."""
     src = docs.where(trained).select("text")
 
     def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,46 +344,117 @@ def learn(docs: DataFrame, trained: Column, buckets: int) -> tuple[Model, DataFr
         for batch in batches:
             for body in batch.column(0).to_pylist():
                 k, n = halves(body)
-                top = np.lexsort((k, -n))[:VOCABULARY]
+                top = np.lexsort((k, -n, k != END_KEY))[:numbered]
                 yield pa.RecordBatch.from_arrays([pa.array(k[top].view(np.int64)), pa.array(n[top])], ["k", "n"])
 
-    # At most VOCABULARY rows of 16 bytes.
-    rows = words.select("body").mapInArrow(best, "k long, n long").orderBy(F.desc("n"), "k").limit(VOCABULARY).toArrow()
+    # At most `numbered` rows of 16 bytes; the end always has a number.
+    rows = words.select("body").mapInArrow(best, "k long, n long").orderBy(F.col("k") != int(END_KEY.view(np.int64)), F.desc("n"), "k").limit(numbered).toArrow()
     model = Model(rows.column("k").to_numpy().view(np.uint64), rows.column("n").to_numpy(), int(total), int(distinct), buckets)
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, sums = kept.value, Sums()
+        near: list[tuple[np.ndarray, ...]] = []
+        far: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            rows: list[tuple[int, int, bytes]] = []
+            k, n = sums.take()
+            shard = m.shard(k)
+            order = np.argsort(shard, kind="stable")
+            rows += [(b, TRIE, body) for b, body in bodies_by(shard[order], buckets, k[order].astype("<u4"), n[order].astype("<u4"))]
+            for kind, parts in ((NEAR, near), (FAR, far)):
+                if parts:
+                    columns = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+                    (bucket, *columns), n = tally((bucket_of(columns[-1] if kind == FAR else columns[0], buckets).astype(np.uint16), *columns))
+                    rows += [(b, kind, body) for b, body in bodies_by(bucket, buckets, *columns, n.astype("<u4"))]
+                    parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "body"])
+
+        held = 0
         for batch in batches:
             for part in slices(batch, "text"):
-                if sums.add(m.ids(Chunk(raw_texts(part), SOLID))[1]):
-                    k, n = sums.take()
-                    yield by_bucket(k, n, m.shard(k), buckets, "<u4")
-        if sums.n:
+                c = Chunk(raw_texts(part), SOLID)
+                ids, own = m.ids(c)
+                at, around, first = m.rare(c, ids, own)
+                near.append((c.key[at], around))
+                far.append((c.key[first], c.key[first + 1]))
+                held += len(at) + len(first)
+                if sums.add(own[(own >> 16 > 0) & (own & 0xFFFF > 0)]) or held > FLUSH:
+                    yield flush()
+                    held = 0
+        yield flush()
+
+    def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = -1, Sums()
+        near: list[list[np.ndarray]] = []
+        far: list[list[np.ndarray]] = []
+
+        def finish() -> pa.RecordBatch:
             k, n = sums.take()
-            yield by_bucket(k, n, m.shard(k), buckets, "<u4")
-
-    def merge_pairs(bucket: int, k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        context, at = np.unique(k >> 16, return_inverse=True)
-        keep, asked = n >= MIN_COUNT, int(n.sum())
-        mass = np.bincount(at[keep], weights=n[keep] - DISCOUNT, minlength=len(context))
-        whole = np.bincount(at, weights=n, minlength=len(context))
-        k, n = k[keep], n[keep]
-        return pa.RecordBatch.from_pydict(
-            {"bucket": pa.array([bucket], pa.int32()), "body": pa.array([squeeze(k.astype("<u4"), n.astype("<u4")) if len(k) else b""], pa.binary()), "asked": [asked],
-             "context": pa.array([context.astype(np.int32)], pa.list_(pa.int32())), "mass": pa.array([mass], pa.list_(pa.float64())), "whole": pa.array([whole], pa.list_(pa.float64()))}
-        )
-
-    counted = cut(merge_buckets(src.mapInArrow(pairs, "bucket int, body binary"), "<u4", merge_pairs, "bucket int, body binary, asked long, context array<int>, mass array<double>, whole array<double>"))
+            rows, asked = [(now, TRIE, squeeze(k.astype("<u4"), n.astype("<u4")))] if len(k) else [], int(n.sum())
+            contexts, seen = [k >> np.uint64(16)], [n]
+            if near:
+                key, around, n = (np.concatenate(x) for x in zip(*near, strict=True))
+                (word,), c = tally((key,), n)
+                asked += int(n.sum())
+                place = np.searchsorted(word, key).astype("<u4")
+                before, after = around >> 16, (around & 0xFFFF).astype("<u2")
+                some = before > 0
+                (v, w), n_before = tally((before[some].astype("<u2"), place[some]), n[some])
+                contexts.append(v.astype(np.uint64))
+                seen.append(n_before)
+                some = after > 0
+                (rare, x), n_after = tally((place[some], after[some]), n[some])
+                # Hashes of the words, so that places follow from the bucket's words; A: numbers before them, B: after them.
+                head = squeeze(word.astype("<u8"))
+                parts = [squeeze(v, w, n_before.astype("<u4")), squeeze(rare, x, n_after.astype("<u4"))]
+                sizes = np.array([len(head), len(parts[0])], dtype="<i8").tobytes()
+                rows.append((now, NEAR, sizes + head + parts[0] + parts[1]))
+                if far:
+                    a, b, n = (np.concatenate(x) for x in zip(*far, strict=True))
+                    (a, b), n = tally((a, b), n)
+                    asked += int(n.sum())
+                    bucket = bucket_of(a, buckets)
+                    order = np.argsort(bucket, kind="stable")
+                    own = c[np.searchsorted(word, b)]
+                    rows += [(to, FAR, body) for to, body in bodies_by(bucket[order], buckets, a[order], b[order], n[order].astype("<u4"), own[order].astype("<u4"))]
+            context, at = np.unique(np.concatenate(contexts), return_inverse=True)
+            n = np.concatenate(seen)
+            mass, whole = np.bincount(at, weights=n - DISCOUNT, minlength=len(context)), np.bincount(at, weights=n, minlength=len(context))
+            none = [None] * max(0, len(rows) - 1)
+            near.clear()
+            far.clear()
+            columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([now] * len(rows), pa.int32()), pa.array([asked, *none], pa.int64())]
+            columns += [pa.array([x, *none], pa.list_(kind)) for x, kind in ((context.astype(np.int32), pa.int32()), (mass, pa.float64()), (whole, pa.float64()))]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "body", "origin", "asked", "context", "mass", "whole"])
+
+        for batch in batches:
+            for bucket, kind, body in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if bucket != now and now >= 0:
+                    yield finish()
+                now = bucket
+                if kind == TRIE:
+                    sums.put(*unsqueeze(body, "<u4", "<u4"))
+                    sums.shrink()
+                elif kind == NEAR:
+                    near.append(unsqueeze(body, "<u8", "<u4", "<u4"))
+                else:
+                    far.append(unsqueeze(body, "<u8", "<u8", "<u4"))
+        if now >= 0:
+            yield finish()
+
+    found = src.mapInArrow(pairs, "bucket int, kind int, body binary").repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    counted = cut(found.mapInArrow(merge_pairs, "bucket int, kind int, body binary, origin int, asked long, context array<int>, mass array<double>, whole array<double>"))
     # One row for each bucket.
-    for bucket, asked in counted.select("bucket", "asked").collect():
+    for bucket, asked in counted.where("asked is not null").select("origin", "asked").collect():
         model.asked[bucket] = asked
-    # One row for each context at most: a bound by the vocabulary.
+    # One row for each context at most: a bound by the numbered words.
     sums = counted.select(F.explode(F.arrays_zip("context", "mass", "whole")).alias("x")).groupBy("x.context").agg(F.sum("x.mass").alias("mass"), F.sum("x.whole").alias("whole")).toArrow()
     c, mass, whole = (sums.column(k).to_numpy() for k in ("context", "mass", "whole"))
     model.rest[c], model.seen[c] = np.clip(1 - mass / whole, 1e-9, 1), whole
     kept.unpersist()
-    return model, words.select("bucket", "body"), counted.select("bucket", "body")
+    return model, words.select("bucket", "body"), counted.select("bucket", "kind", "body")
 
 
 def halves(body: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -355,15 +462,102 @@ def halves(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(body, dtype="<u8", count=n), np.frombuffer(body, dtype="<i8", offset=8 * n)
 
 
-def score(docs: DataFrame, trained: Column, buckets: int | None = None) -> DataFrame:
+def coded(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.round(-np.log10(p) / STEP), 0, 65535)
+
+
+class Bucket:
+    """What a slot holds: word counts and tries of the pairs of numbers, of rare words with numbers, and of rare words."""
+
+    def __init__(self, m: Model):
+        self.m = m
+        self.keys, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.trie: Trie | None = None
+        self.near, self.far, self.built = b"", [], False
+
+    def words(self, body: bytes) -> None:
+        self.keys, self.counts = halves(body)
+
+    def pairs(self, body: bytes) -> None:
+        k, n = unsqueeze(body, "<u4", "<u4")
+        context, word = (k >> 16).astype(np.int64), (k & 0xFFFF).astype(np.int64)
+        self.trie = Trie(context, word, coded((n - DISCOUNT) / self.m.seen[context] + self.m.rest[context] * self.m.unigram[word]))
+
+    def place(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words stand among the bucket's, and their counts in training."""
+        if not len(self.keys):
+            return np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return at, np.where(self.keys[at] == key, self.counts[at], 0)
+
+    def build(self) -> None:
+        if self.built:
+            return
+        self.built, m, none = True, self.m, np.zeros(0, dtype=np.int64)
+        v = w = n = rare = x = n_after = a = b = n_far = own = none
+        if self.near:
+            k, k2 = np.frombuffer(self.near, dtype="<i8", count=2).tolist()
+            (word,) = unsqueeze(self.near[16 : 16 + k], "<u8")
+            place = np.searchsorted(self.keys, word)
+            v, w, n = unsqueeze(self.near[16 + k : 16 + k + k2], "<u2", "<u4", "<u4")
+            rare, x, n_after = unsqueeze(self.near[16 + k + k2 :], "<u4", "<u2", "<u4")
+            v, w, rare, x = v.astype(np.int64), place[w], place[rare], x.astype(np.int64)
+        if self.far:
+            a, b, n_far, own = (np.concatenate(y) for y in zip(*(unsqueeze(body, "<u8", "<u8", "<u4", "<u4") for body in self.far), strict=True))
+            a = np.searchsorted(self.keys, a)
+        self.names, b = np.unique(b.astype(np.uint64), return_inverse=True)
+        mass = np.bincount(rare, weights=n_after - DISCOUNT, minlength=len(self.keys)) + np.bincount(a, weights=n_far - DISCOUNT, minlength=len(self.keys))
+        self.rest = np.clip(1 - mass / np.maximum(1, self.counts), 1e-9, 1)
+        unigram = lambda c: (c + ADD) / m.floor
+        self.before = Trie(v, w, coded((n - DISCOUNT) / m.seen[v] + m.rest[v] * unigram(self.counts[w])))
+        self.after = Trie(rare, x, coded((n_after - DISCOUNT) / self.counts[rare] + self.rest[rare] * m.unigram[x]))
+        order = np.lexsort((b, a))
+        a, b, n_far, own = a[order], b[order], n_far[order], own[order]
+        self.among = Trie(a, b, coded((n_far - DISCOUNT) / self.counts[a] + self.rest[a] * unigram(own)))
+        # In the order of the names: a word has one count.
+        self.own = np.zeros(len(self.names))
+        self.own[b] = np.log10(unigram(own))
+        self.near, self.far = b"", []
+
+    def fallback(self, at: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """log l(v) of rare contexts; 0 where training never saw them."""
+        out = np.zeros(len(at))
+        out[c > 0] = np.log10(self.rest[at[c > 0]])
+        return out
+
+    def rare(self, key: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts, log P(w), and log P(w|v) of the word and of the number after it. A rare word before gives log P(w) here, and
+        rare_pairs what is above it; a rare word after is left to its own bucket."""
+        self.build()
+        at, c = self.place(key)
+        own = np.log10((c + ADD) / self.m.floor)
+        v, x = (around >> 16).astype(np.int64), (around & 0xFFFF).astype(np.int64)
+        code = np.where(c > 0, self.before.find(v, at), -1)
+        gain = np.where(v > 0, np.where(code >= 0, -STEP * code, np.log10(self.m.rest[v]) + own), own)
+        code = np.where(c > 0, self.after.find(at, x), -1)
+        gain += np.where(x > 0, np.where(code >= 0, -STEP * code, self.fallback(at, c) + np.log10(self.m.unigram[np.minimum(x, len(self.m.unigram) - 1)])), 0)
+        return c, own, gain
+
+    def rare_pairs(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """log P(w|v) - log P(w) of pairs of rare words."""
+        self.build()
+        at, c = self.place(context)
+        out = self.fallback(at, c)
+        if len(self.names):
+            name = np.minimum(np.searchsorted(self.names, word), len(self.names) - 1)
+            code = np.where((c > 0) & (self.names[name] == word), self.among.find(at, name), -1)
+            out = np.where(code >= 0, -STEP * code - self.own[name], out)
+        return out
+
+
+def score(docs: DataFrame, trained: Column, buckets: int | None = None, numbered: int = NUMBERED) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all rows of (doc_id, text)."""
     spark = docs.sparkSession
     tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    model, words, pairs = learn(docs, trained, buckets or min(4096, tasks))
+    model, words, pairs = learn(docs, trained, buckets or min(4096, tasks), numbered)
     first, n_slots = model.slots(tasks)
     kept = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    WORDS, TRIE, HEAD, RARE, PAIRS = range(5)  # rows of a slot come in this order
     names = ["chunk", "slot", "kind", "body", "ids", "held"]
     message = f"chunk long, slot int, kind int, body binary, ids array<{kind}>, held array<boolean>"
 
@@ -376,20 +570,21 @@ def score(docs: DataFrame, trained: Column, buckets: int | None = None) -> DataF
             for part in slices(batch, "text"):
                 c = Chunk(raw_texts(part), SOLID)
                 ids, own = m.ids(c)
-                end = max(0, int(m.table.get(np.array([END_KEY]))[0]))
+                end = int(m.table.get(np.array([END_KEY]))[0])
                 base = np.bincount(c.word_doc, weights=np.where(ids > 0, m.base[ids], 0), minlength=c.n) + m.base[end]
                 known = np.bincount(c.word_doc[ids > 0], minlength=c.n) + int(m.counts[end] > 0)
                 lot = int(mix(np.array([chunk], dtype=np.uint64))[0] >> np.uint64(1))
                 slot = (first[:-1] + lot % n_slots).tolist()
                 rows: list[tuple[int, int, bytes]] = []
-                rare = np.nonzero(ids == 0)[0]
-                bucket = bucket_of(c.key[rare], m.buckets)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(m.buckets + 1))
-                for b in np.nonzero(np.diff(cuts))[0].tolist():
-                    at = rare[order[cuts[b] : cuts[b + 1]]]
-                    rows.append((slot[b], RARE, squeeze(c.word_doc[at].astype("<u4"), c.key[at])))
+                rare, around, before = m.rare(c, ids, own)
+                for kind, at in ((RARE, rare), (RARE_PAIRS, before)):
+                    bucket = bucket_of(c.key[at], m.buckets)
+                    order = np.argsort(bucket, kind="stable")
+                    second = around[order] if kind == RARE else c.key[at[order] + 1]
+                    rows += [(slot[b], kind, body) for b, body in bodies_by(bucket[order], m.buckets, c.word_doc[at[order]].astype("<u4"), c.key[at[order]], second)]
                 doc = np.repeat(np.arange(c.n), c.counts + 1)
+                both = (own >> 16 > 0) & (own & 0xFFFF > 0)
+                doc, own = doc[both], own[both]
                 cell = np.sort(m.shard(own).astype(np.uint64) << np.uint64(52) | doc.astype(np.uint64) << np.uint64(32) | own.astype(np.uint64))
                 cuts = np.searchsorted(cell >> np.uint64(52), np.arange(m.buckets + 1))
                 for b in np.nonzero(np.diff(cuts))[0].tolist():
@@ -406,41 +601,43 @@ def score(docs: DataFrame, trained: Column, buckets: int | None = None) -> DataF
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A reply to each question, by the counts and the trie that stand before it; heads pass through."""
         m, now = kept.value, -1
-        lower, rest, rare_mass = np.log10(m.unigram), np.log10(m.rest), math.log10(m.unigram[0])
-        keys, counts, trie = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), None
+        lower, rest = np.log10(m.unigram), np.log10(m.rest)
+        here = Bucket(m)
         for batch in batches:
             slot, what, bodies = (batch.column(k).to_pylist() for k in (1, 2, 3))
             at: list[int] = []
             replies: list[bytes] = []
             for row in range(batch.num_rows):
                 if slot[row] != now:
-                    now, keys, counts, trie = slot[row], np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), None
+                    now, here = slot[row], Bucket(m)
                 body = bodies[row]
                 if what[row] == WORDS:
-                    keys, counts = halves(body)
+                    here.words(body)
                 elif what[row] == TRIE:
-                    if body:
-                        k, n = unsqueeze(body, "<u4", "<u4")
-                        context, word = (k >> 16).astype(np.int64), (k & 0xFFFF).astype(np.int64)
-                        p = (n - DISCOUNT) / m.seen[context] + m.rest[context] * m.unigram[word]
-                        trie = Trie(context, word, np.clip(np.round(-np.log10(p) / STEP), 0, 65535))
+                    here.pairs(body)
+                elif what[row] == NEAR:
+                    here.near = body
+                elif what[row] == FAR:
+                    here.far.append(body)
                 elif what[row] == HEAD:
                     at.append(row)
                     replies.append(body)
                 elif what[row] == RARE:
-                    doc, key = unsqueeze(body, "<u4", "<u8")
-                    place = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-                    c = np.where(keys[place] == key, counts[place], 0) if len(keys) else np.zeros(len(key))
-                    own = np.log10((c + ADD) / m.floor)
+                    doc, key, around = unsqueeze(body, "<u4", "<u8", "<u4")
+                    c, own, gain = here.rare(key, around)
                     some, doc = np.unique(doc, return_inverse=True)
                     known = np.bincount(doc[c > 0], minlength=len(some))
-                    base = np.bincount(doc, weights=own, minlength=len(some))
                     at.append(row)
-                    replies.append(squeeze(some.astype("<u4"), known.astype("<u4"), base, np.bincount(doc, weights=own - rare_mass, minlength=len(some))))
+                    replies.append(squeeze(some.astype("<u4"), known.astype("<u4"), np.bincount(doc, weights=own, minlength=len(some)), np.bincount(doc, weights=gain, minlength=len(some))))
+                elif what[row] == RARE_PAIRS:
+                    doc, context, word = unsqueeze(body, "<u4", "<u8", "<u8")
+                    some, doc = np.unique(doc, return_inverse=True)
+                    at.append(row)
+                    replies.append(squeeze(some.astype("<u4"), np.bincount(doc, weights=here.rare_pairs(context, word), minlength=len(some))))
                 else:
                     step, pair = unsqueeze(body, "<u4", "<u4")
                     context, word = (pair >> 16).astype(np.int64), (pair & 0xFFFF).astype(np.int64)
-                    code = trie.find(context, word) if trie else np.full(len(pair), -1)
+                    code = here.trie.find(context, word) if here.trie else np.full(len(pair), -1)
                     got = np.where(code >= 0, -STEP * code, rest[context] + lower[word])
                     begin = np.nonzero(np.append(True, step[1:] > 0))[0]
                     at.append(row)
@@ -468,7 +665,7 @@ def score(docs: DataFrame, trained: Column, buckets: int | None = None) -> DataF
 
     # A row for each bucket at most; its shard is copied to each of its slots.
     places = spark.createDataFrame([(b, int(first[b]), int(n)) for b, n in enumerate(n_slots)], "bucket int, first int, n int")
-    shards = words.withColumn("kind", F.lit(WORDS)).unionByName(pairs.withColumn("kind", F.lit(TRIE))).join(F.broadcast(places), "bucket")
+    shards = words.withColumn("kind", F.lit(WORDS)).unionByName(pairs).join(F.broadcast(places), "bucket")
     shards = shards.select(F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"), "kind", "body")
     asked = docs.select("doc_id", (~trained).alias("held"), "text").mapInArrow(ask, message)
     rows = asked.unionByName(shards, allowMissingColumns=True).repartitionById(int(first[-1]), F.col("slot")).sortWithinPartitions("slot", "kind")

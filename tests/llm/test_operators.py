@@ -345,6 +345,28 @@ def test_ngram_base_scores_and_trie(spark):
     assert t.find(asked >> 16, asked & 0xFFFF).tolist() == [known.get(int(a), -1) for a in asked]
 
 
+@pytest.mark.parametrize("numbered", [None, 40])
+def test_ngram_scores_of_all_words_and_pairs(spark, numbered):
+    """P(w|v) of every pair by brute force, over more distinct words than have numbers."""
+    rnd = random.Random(9)
+    many = [f"u{i}" for i in range(61_000 if numbered is None else 300)]
+    texts = ODD + [" ".join(many), " ".join(many), " ".join(many[-2000:])] + [" ".join(rnd.choice([rnd.choice(many), "the", "cat sat", "u5 u7"]) for _ in range(rnd.randint(0, 30))) for _ in range(150)]
+    found = ngrams.score(documents(spark, texts), F.col("doc_id") % 10 != 0, buckets=5, **({} if numbered is None else {"numbered": numbered}))
+    rows = {r.doc_id: r for r in found.collect()}
+    split = [["<s>", *bytes(t or "", "utf-8").lower().split(), b"\0end"] for t in texts]
+    train = [x for i, x in enumerate(split) if i % 10]
+    c, pairs = Counter(w for x in train for w in x[1:]), Counter(p for x in train for p in zip(x, x[1:]))
+    n, seen, mass = sum(c.values()), Counter(), Counter()
+    for (v, _), k in pairs.items():
+        seen[v] += k
+        mass[v] += k - 0.75
+    low = lambda w: (c[w] + 0.1) / (n + 0.1 * (len(c) + 1))
+    p = lambda v, w: max(pairs[v, w] - 0.75, 0) / seen[v] + (1 - mass[v] / seen[v]) * low(w) if seen[v] else low(w)
+    for i, x in enumerate(split):
+        want = sum(math.log10(p(v, w)) for v, w in zip(x, x[1:]))
+        assert abs(rows[i].score - want) <= len(x) / 8192 + 1e-6
+
+
 def test_secrets_equal_a_full_scan(spark):
     texts = ODD + ['Password = "abcdef12"', "api_key:abc", "apikey: abcdefg token=abcdef", "AKIA" + "Z9" * 8, "AKIA12", "0" * 23 + " " + "ab" * 12, "ſecret=abcdefgh KELVIN toKen=abcdefg", "-----BEGIN RSA PRIVATE KEY-----", "x ghp_" + "a1" * 18, "http://u:pass@h"]
     s = secrets.scanner()
