@@ -1,8 +1,8 @@
 """Lexical retrieval packing: documents that share rare tokens fill a window together.
 
 A shard is a run of documents of `SHARD_TOKENS` tokens in the order they are read; it gets a BM25 inverted index over token
-ids. A window starts with a seed (what is left of the document cut last, else the next unused one); the seed's
-rarest tokens query the index, and unused neighbours fill the window by falling score. The one that no
+ids. A window starts with a seed (what is left of the document cut last, else the next unused one); all of its
+tokens query the index, and unused neighbours fill the window by falling score, as many as it takes. The one that no
 longer fits is cut there and seeds the next window, so that only the last window of a task is not full. No row is
 shuffled and no task holds more than one shard.
 
@@ -25,7 +25,6 @@ from .common import slices, texts
 WINDOW = 2048
 SHARD_TOKENS = 2_000_000
 END = 1
-QUERY_TERMS, NEIGHBOURS = 16, 16
 K1, B = 1.2, 0.75
 
 
@@ -50,22 +49,25 @@ class Index:
         impact = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc].astype(np.float32) / mean))
         order = np.argsort(term, kind="stable")
         self.post_doc, self.impact, self.begin = doc[order], impact[order], np.append(0, np.cumsum(df))
+        self.left = n
 
     def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
-        """Unused documents that share the seed's rarest tokens, best first."""
+        """All unused documents that share a token with the seed, best first."""
         terms = self.terms[self.doc_ends[seed] : self.doc_ends[seed + 1]]
-        terms = terms[self.df[terms] > 1]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(self.df[terms], QUERY_TERMS)[:QUERY_TERMS]]
+        terms = terms[self.df[terms] > 1]  # others stand in the seed alone
         if not len(terms):
             return []
+        left = self.n - int(np.count_nonzero(used))
+        if left < 0.75 * self.left:  # postings of used documents would score nothing
+            keep, self.left = ~used[self.post_doc], left
+            self.begin = np.append(0, np.cumsum(keep))[self.begin]
+            self.post_doc, self.impact = self.post_doc[keep], self.impact[keep]
         lo, hi = self.begin[terms].tolist(), self.begin[terms.astype(np.int64) + 1].tolist()
         docs = np.concatenate([self.post_doc[a:b] for a, b in zip(lo, hi, strict=True)])
         score = np.bincount(docs, np.concatenate([self.impact[a:b] for a, b in zip(lo, hi, strict=True)]), self.n)
         score[used] = 0
-        some = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        some = some[score[some] > 0]
-        return some[np.lexsort((some, -score[some]))].tolist()
+        some = np.nonzero(score > 0)[0]
+        return some[np.argsort(-score[some], kind="stable")].tolist()
 
 
 class Packer:

@@ -215,6 +215,21 @@ def test_packing_loses_and_repeats_nothing(spark):
     assert packing.pack(documents(spark, []), PATH).count() == 0
 
 
+def test_packing_fills_a_window_with_all_neighbours():
+    rng = np.random.default_rng(2)
+    docs = [np.append(rng.integers(base, base + 60, 40), 1) for _ in range(60) for base in (1000, 5000, 9000)]
+    pieces = packing.Packer(0).shard(np.concatenate(docs), np.cumsum([len(x) for x in docs]))
+    assert {doc % 3 for doc, _, _, sequence, _ in pieces if sequence == 0} == {0}
+
+
+def test_packing_ranks_by_all_tokens_of_the_seed():
+    seed = np.arange(100, 160)
+    docs = [seed, np.arange(140, 160), np.append(np.arange(100, 116), np.arange(900, 924)), np.arange(116, 156)]
+    index = packing.Index(np.concatenate(docs), np.cumsum([len(x) for x in docs]))
+    used = np.array([True, False, False, False])
+    assert set(index.neighbours(0, used)) == {1, 2, 3}
+
+
 def brute(n, near):
     up = list(range(n))
 
