@@ -543,14 +543,17 @@ def surface_leak_hits(spark: SparkSession, d: str) -> DataFrame:
     bench = table(spark, d, "benchmark").where(F.length("text") > 0)
     # Inner words of a passage stand in its holder as they are; the rarest decides who is looked at.
     cut_words = lambda c: F.array_distinct(F.split(c, r"[ \n]"))
-    words = bench.select("item_id", "text", F.explode(F.slice(cut_words(F.col("text")), 2, 1_000_000)).alias("w"))
     last = F.element_at(F.split("text", r"[ \n]"), -1)
-    words = words.where((F.col("w") != "") & (F.col("w") != last))
+    inner = F.filter(F.slice(cut_words(F.col("text")), 2, 1_000_000), lambda w: (w != "") & (w != last))
+    words = bench.select("item_id", "text", F.explode(inner).alias("w"))
     docs = table(spark, d, "documents").select("doc_id", "text")
     seen = docs.select("doc_id", F.explode(cut_words(F.col("text"))).alias("w")).join(words.select("w").distinct(), "w").cache()
     df = seen.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     rarest = words.join(df, "w").groupBy("item_id", "text").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
     hits = seen.join(rarest, "w").select("doc_id", "item_id", F.col("text").alias("body")).join(docs, "doc_id").where(F.contains("text", "body"))
+    # Passages without an inner word are looked for in every document.
+    short = bench.where(F.size(inner) == 0).select("item_id", F.col("text").alias("body"))
+    hits = hits.select("doc_id", "item_id").unionAll(docs.join(F.broadcast(short), F.contains("text", "body")).select("doc_id", "item_id"))
     return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("bodies"), F.min("item_id").alias("first_item"))
 
 

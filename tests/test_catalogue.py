@@ -41,3 +41,10 @@ def test_query(spark, sf, duck, name):
         assert rows(got) == rows(want)
     else:
         assert len(got) > 0
+
+
+def test_leaks_of_passages_without_inner_words(spark, tmp_path):
+    spark.createDataFrame([(1, "b"), (2, "a b"), (3, "a b b"), (4, "a c b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "xa by"), (2, "a c b"), (3, "ya b bz"), (4, "none"), (5, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalogue.surface_leak_hits(spark, str(tmp_path)).collect()}
+    assert got == {(1, 2, 1), (2, 2, 1), (3, 3, 1)}
