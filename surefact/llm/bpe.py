@@ -24,10 +24,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices, texts
+from .common import slices, texts, tidy
 from .hashing import Table, span_hash
 
-CACHE_WORDS = 2_000_000
+#: Words that a Python worker remembers: some 25 MB.
+CACHE_WORDS = 200_000
 WIDE = 48
 NONE = np.int64(1 << 40)
 #: White space as the Unicode property has it (fixed values).
@@ -363,7 +364,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     src = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return src.mapInArrow(tidy(run), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded", plain: bool = False) -> DataFrame:
@@ -399,4 +400,5 @@ def round_trip(df: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return df.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that a Python worker holds decoded at once; one longer text is taken alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,24 +56,62 @@ def doc_bucket(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function for mapInArrow, giving the memory that its task has freed back to the system: Python workers are used again,
+    and what one stage leaves in their allocators would stand beside what the next one needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        trim()
+
+    return run
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # no glibc: nothing to give back by this way
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one is set only where the session names none (local mode)."""
+    """The folder that all executors share. In local mode a temporary one is set if the session names none; a cluster has to name one."""
     path = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not path:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = kept.get() if kept.isDefined() else ""
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), f"surefact-{uuid.uuid4().hex}")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+_CUTS: dict[str, DataFrame] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write a frame into the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
+    """Write a frame into the shared folder and read it back: lineage ends here, and a lost executor costs nothing.
+
+    The files go when the driver ends, or before by `dropped`."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if not _CUTS:
+        atexit.register(lambda: [dropped(x) for x in list(_CUTS.values())])
+    _CUTS[path] = out
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a cut that nothing reads any more; any other frame stays as it is."""
+    for path in [p for p, x in _CUTS.items() if x is df]:
+        del _CUTS[path]
+        with suppress(Exception):  # the session has ended: its folder is cleaned with it
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def counted(ids: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, dropped, tidy
 
 
 def by_runs(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table | None], schema: str, order: tuple[str, ...] = ()) -> DataFrame:
@@ -35,7 +35,7 @@ def by_runs(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table | None],
         if kept and (out := fn(pa.concat_tables(kept))) is not None:
             yield from out.to_batches()
 
-    return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(tidy(run), schema)
 
 
 def runs(keys: np.ndarray) -> list[tuple[int, int]]:
@@ -84,4 +84,5 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         next_ = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small)
-        now = cut(next_.distinct())
+        last, now = now, cut(next_.distinct())
+        dropped(last)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import raw_texts, slices
+from .common import raw_texts, slices, tidy
 from .hashing import ALNUM, Chunk, Table, hash_words
 
 #: Phrases and their labels (fixed values).
@@ -212,4 +212,4 @@ def scan(df: DataFrame, **options) -> DataFrame:  # type: ignore[no-untyped-def]
                 )
 
     src = df.select("doc_id", "text")
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, {schema}")
+    return src.mapInArrow(tidy(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, {schema}")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import raw_texts, slices
+from .common import raw_texts, slices, tidy
 
 WIDTH, ROWS = 64, 16384
 LIMIT = 12
@@ -572,7 +572,7 @@ def store(df: DataFrame) -> DataFrame:
                 raw = raw_texts(part)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(write_samples([padded(x) for x in raw]), pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return df.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def describe(media: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Language-model scores from an Elias-Fano bigram trie that is trained and queried in shards.
+"""Language-model scores from an Elias-Fano trie of unigrams and bigrams that is trained and queried in shards.
 
 Every word of the training counts is a word of the model. The `NUMBERED` most frequent have 16-bit numbers that all tasks know;
 the others ("rare" below) go by their 64-bit hash and live in the bucket of that hash. The numbers only make messages short:
@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, raw_texts, slices
+from .common import cut, raw_texts, slices, tidy
 from .hashing import SOLID, Chunk, Table, mix
 
 NUMBERED = 60_000
@@ -49,6 +49,18 @@ FLUSH = 2_000_000
 # -- Elias-Fano -----------------------------------------------------------------------------------
 
 
+def nth_bit(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The place of the n-th set bit, from 1, of each word."""
+    place, left = np.zeros(len(words), dtype=np.int64), n
+    for width in (32, 16, 8, 4, 2, 1):
+        mask = np.uint64((1 << width) - 1)
+        here = np.bitwise_count((words >> place.astype(np.uint64)) & mask).astype(np.int64)
+        skip = here < left
+        left = np.where(skip, left - here, left)
+        place += np.where(skip, width, 0)
+    return place
+
+
 class Monotone:
     """A non-decreasing sequence below 2**48: low bits packed, high bits in unary, ranks of zeros by word."""
 
@@ -85,21 +97,21 @@ class Monotone:
         out |= np.where(shift > 0, self.lower[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
         return out & np.uint64((1 << self.low) - 1)
 
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The values at these indexes: the place of the i-th one, from 0, among the high bits, and the low bits."""
+        ones = self.ones if hasattr(self, "ones") else np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
+        self.ones = ones
+        word = np.searchsorted(ones, i, side="right") - 1
+        place = nth_bit(self.upper[word], i - ones[word] + 1)
+        return ((word * 64 + place - i).astype(np.uint64) << np.uint64(self.low)) | self.low_bits(i)
+
     def before(self, high: np.ndarray) -> np.ndarray:
         """How many values have smaller high bits: the place of the zero that closes them."""
         rank = np.minimum(high, int(self.zeros[-1]))  # beyond all: everything is before
         word = np.searchsorted(self.zeros, rank, side="left") - 1
         word = np.maximum(word, 0)
         rest = (rank - self.zeros[word].astype(np.int64)).astype(np.int64)  # the rest-th zero of the word, from 1
-        empty = ~self.upper[word]
-        place = np.zeros(len(rank), dtype=np.int64)
-        left = rest.copy()
-        for width in (32, 16, 8, 4, 2, 1):
-            mask = np.uint64((1 << width) - 1)
-            here = np.bitwise_count((empty >> place.astype(np.uint64)) & mask).astype(np.int64)
-            skip = here < left
-            left = np.where(skip, left - here, left)
-            place += np.where(skip, width, 0)
+        place = nth_bit(~self.upper[word], rest)
         return np.where(high > 0, np.minimum(self.n, word * 64 + place + 1 - rank), 0)
 
     def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,14 +134,19 @@ class Monotone:
 
 
 class Trie:
-    """Contexts, where their words begin, words and codes: levels of one shard, in a file mapped into memory."""
+    """Contexts, where their words begin, words and codes: levels of one shard, in a file mapped into memory.
+
+    The words of a context follow on from the last word of the context before, so that the level is monotone; a word is sought
+    from where its context's pointer says, relative to the value before. The file has no name: a task that is run again, here
+    or elsewhere, builds its shard again."""
 
     def __init__(self, context: np.ndarray, word: np.ndarray, code: np.ndarray):
         """Pairs sorted by context, then word."""
-        self.bits = np.uint64(max(16, int(word.max(initial=0)).bit_length()))
         names, begin = np.unique(context, return_index=True)
-        rank = np.searchsorted(names, context)
-        levels = [Monotone.build(names), Monotone.build(begin), Monotone.build((rank.astype(np.uint64) << self.bits) | word.astype(np.uint64))]
+        word = word.astype(np.int64)
+        ends = np.append(begin[1:], len(word)).astype(np.int64)
+        past = np.append(0, np.cumsum(word[ends - 1] + 1))[:-1] if len(names) else np.zeros(0, dtype=np.int64)
+        levels = [Monotone.build(names), Monotone.build(np.append(begin, len(word))), Monotone.build(np.repeat(past, ends - begin) + word)]
         arrays = [x for m in levels for x in (m.upper, m.lower, m.zeros)] + [code.astype(np.uint16)]
         self.bytes = sum(x.nbytes for x in arrays)
         mapped = []
@@ -145,12 +162,30 @@ class Trie:
         self.contexts, self.pointers, self.words = (Monotone(*mapped[3 * k : 3 * k + 3], m.n, m.low) for k, m in enumerate(levels))
         self.codes = mapped[-1]
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The codes of pairs, -1 where they were never seen: the word is sought relative to its context's rank."""
+    def ranges(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each context, from the pointers: where its words begin and end (both 0 if it was never seen) and what they count from."""
         rank, known = self.contexts.successor(context)
-        at, equal = self.words.successor((rank.astype(np.uint64) << self.bits) | word.astype(np.uint64))
-        hit = known & equal
+        rank = np.where(known, rank, 0)
+        begin, end = (np.where(known, self.pointers.at(x).astype(np.int64), 0) for x in (rank, rank + 1))
+        past = np.zeros(len(begin), dtype=np.int64)
+        past[begin > 0] = self.words.at(begin[begin > 0] - 1).astype(np.int64) + 1
+        return begin, end, past
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The codes of pairs, -1 where they were never seen: each distinct context's range once, then the word's successor in it."""
         out = np.full(len(context), -1, dtype=np.int64)
+        if not len(self.codes) or not len(context):
+            return out
+        if int(context.max()) < 1 << 16:
+            names = np.nonzero(np.bincount(context))[0]
+            place = np.zeros(1 << 16, dtype=np.int64)
+            place[names] = np.arange(len(names))
+            which = place[context]
+        else:
+            names, which = np.unique(context, return_inverse=True)
+        begin, end, past = self.ranges(names)
+        at, equal = self.words.successor(past[which] + word.astype(np.int64))
+        hit = equal & (at >= begin[which]) & (at < end[which])
         out[hit] = self.codes[at[hit]]
         return out
 
@@ -226,7 +261,7 @@ def merge_buckets(rows: DataFrame, kind: str, finish: Callable[[int, np.ndarray,
         if now >= 0:
             yield finish(now, *sums.take())
 
-    return rows.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return rows.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(tidy(run), schema)
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -337,7 +372,7 @@ def learn(docs: DataFrame, trained: Column, buckets: int, numbered: int) -> tupl
     def merge_words(bucket: int, k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "body": pa.array([k.tobytes() + n.astype("<i8").tobytes()], pa.binary()), "n": [len(k)], "total": [int(n.sum())]})
 
-    words = cut(merge_buckets(src.mapInArrow(unigrams, "bucket int, body binary"), "<u8", merge_words, "bucket int, body binary, n long, total long"))
+    words = cut(merge_buckets(src.mapInArrow(tidy(unigrams), "bucket int, body binary"), "<u8", merge_words, "bucket int, body binary, n long, total long"))
     distinct, total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +383,7 @@ def learn(docs: DataFrame, trained: Column, buckets: int, numbered: int) -> tupl
                 yield pa.RecordBatch.from_arrays([pa.array(k[top].view(np.int64)), pa.array(n[top])], ["k", "n"])
 
     # At most `numbered` rows of 16 bytes; the end always has a number.
-    rows = words.select("body").mapInArrow(best, "k long, n long").orderBy(F.col("k") != int(END_KEY.view(np.int64)), F.desc("n"), "k").limit(numbered).toArrow()
+    rows = words.select("body").mapInArrow(tidy(best), "k long, n long").orderBy(F.col("k") != int(END_KEY.view(np.int64)), F.desc("n"), "k").limit(numbered).toArrow()
     model = Model(rows.column("k").to_numpy().view(np.uint64), rows.column("n").to_numpy(), int(total), int(distinct), buckets)
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -444,8 +479,8 @@ def learn(docs: DataFrame, trained: Column, buckets: int, numbered: int) -> tupl
         if now >= 0:
             yield finish()
 
-    found = src.mapInArrow(pairs, "bucket int, kind int, body binary").repartition(F.col("bucket")).sortWithinPartitions("bucket")
-    counted = cut(found.mapInArrow(merge_pairs, "bucket int, kind int, body binary, origin int, asked long, context array<int>, mass array<double>, whole array<double>"))
+    found = src.mapInArrow(tidy(pairs), "bucket int, kind int, body binary").repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    counted = cut(found.mapInArrow(tidy(merge_pairs), "bucket int, kind int, body binary, origin int, asked long, context array<int>, mass array<double>, whole array<double>"))
     # One row for each bucket.
     for bucket, asked in counted.where("asked is not null").select("origin", "asked").collect():
         model.asked[bucket] = asked
@@ -667,7 +702,7 @@ def score(docs: DataFrame, trained: Column, buckets: int | None = None, numbered
     places = spark.createDataFrame([(b, int(first[b]), int(n)) for b, n in enumerate(n_slots)], "bucket int, first int, n int")
     shards = words.withColumn("kind", F.lit(WORDS)).unionByName(pairs).join(F.broadcast(places), "bucket")
     shards = shards.select(F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"), "kind", "body")
-    asked = docs.select("doc_id", (~trained).alias("held"), "text").mapInArrow(ask, message)
+    asked = docs.select("doc_id", (~trained).alias("held"), "text").mapInArrow(tidy(ask), message)
     rows = asked.unionByName(shards, allowMissingColumns=True).repartitionById(int(first[-1]), F.col("slot")).sortWithinPartitions("slot", "kind")
-    replies = rows.mapInArrow(answer, message)
+    replies = rows.mapInArrow(tidy(answer), message)
     return replies.groupBy("chunk").applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

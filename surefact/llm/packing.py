@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import slices, texts
+from .common import slices, texts, tidy
 
 WINDOW = 2048
 SHARD_TOKENS = 2_000_000
@@ -157,4 +157,4 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
             yield done()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

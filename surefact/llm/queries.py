@@ -55,8 +55,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(doc_bucket(F.col("doc_id"), 3) != 1))
-    return toxicity.score(docs, model, evidence=False).select(
-        "doc_id", (doc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    return toxicity.score(docs, model).select(
+        "doc_id", (doc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "neighbours", "cosines"
     )
 
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import raw_texts, slices
+from .common import raw_texts, slices, tidy
 
 Query = tuple | None  # ("and" | "or", parts) of trigrams and queries; None: no demand
 LIMIT = 64
@@ -132,24 +132,23 @@ class Scanner:
             self.runs.append((bytes(120 if inside.match(bytes([b])) else 32 for b in range(256)), b"x" * arg[0]) if inside else None)
         wanted = sorted(set().union(*(trigrams(q) for q in self.queries)))
         self.slot = {t: k for k, t in enumerate(wanted)}
-        self.number = np.full(1 << 24, -1, dtype=np.int16)
-        for t, k in self.slot.items():
-            self.number[t[0] << 16 | t[1] << 8 | t[2]] = k
+        self.codes = np.array([t[0] << 16 | t[1] << 8 | t[2] for t in wanted] or [1 << 24], dtype=np.int32)
+        self.begins = np.zeros(1 << 16, dtype=bool)
+        self.begins[self.codes[self.codes < 1 << 24] >> 8] = True
 
     def index(self, raw: list[bytes]) -> np.ndarray:
         """Postings of the wanted trigrams: a row of texts for each."""
         data = np.frombuffer(b"\n\n\n".join(raw).lower() + b"\n\n\n", dtype=np.uint8)
-        # Every trigram that is asked for starts with one of few bytes and goes on with one of few.
-        code = data[:-2].astype(np.int32)
-        code <<= 8
-        code |= data[1:-1]
-        code <<= 8
-        code |= data[2:]
-        slots = self.number[code]
-        at = np.nonzero(slots >= 0)[0]
+        # Few pairs of bytes begin a trigram that is asked for.
+        pair = data[:-2].astype(np.uint16) << np.uint16(8) | data[1:-1]
+        at = np.nonzero(self.begins[pair])[0]
+        code = pair[at].astype(np.int32) << 8 | data[at + 2]
+        slots = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = self.codes[slots] == code
+        at, slots = at[hit], slots[hit]
         doc = np.searchsorted(np.cumsum([len(x) + 3 for x in raw]), at, side="right")
         out = np.zeros((len(self.slot), len(raw)), dtype=bool)
-        out[slots[at], doc] = True
+        out[slots, doc] = True
         return out
 
     def candidates(self, q: Query, postings: np.ndarray) -> np.ndarray:
@@ -199,7 +198,7 @@ def find(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(kind))], ["doc_id", "spans"])
 
     src = df.select("doc_id", "text")
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:long,end:long>>")
+    return src.mapInArrow(tidy(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def redact(df: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
@@ -229,4 +228,4 @@ def redact(df: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]
                         columns[size] = pa.array([len(texts[d]) if found[d] else old[d] for d in range(len(found))], columns[size].type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import counted, cut, raw_texts, slices
+from .common import counted, cut, raw_texts, slices, tidy
 from .grouping import Forest, by_runs, components, runs
 from .hashing import mix
 
@@ -91,7 +91,7 @@ def fingerprints(df: DataFrame, words: int = 3) -> DataFrame:
                 fps[some] = majority(flat, begins)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp long")
+    return df.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def compare(fps: np.ndarray, radius: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +246,7 @@ def sketches(df: DataFrame, words: int) -> DataFrame:
                     ["doc_id", "same", "n", "fp", "bands"],
                 )
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, same long, n int, fp array<long>, bands array<long>")
+    return df.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, same long, n int, fp array<long>, bands array<long>")
 
 
 def jaccard_links(sets: list[np.ndarray], similarity: float, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -320,7 +320,7 @@ def text_hubs(df: DataFrame, loose: DataFrame, words: int, similarity: float, ti
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(done, pa.bool_())], ["root", "node", "late", "done"])
 
     rows = rows.repartition(F.col("key")).sortWithinPartitions("key", "late").select("root", "node", "late", "text")
-    found = cut(rows.mapInArrow(run, "root long, node long, late boolean, done boolean"))
+    found = cut(rows.mapInArrow(tidy(run), "root long, node long, late boolean, done boolean"))
     return found.select(F.col("root").alias("bucket"), "node", F.col("root").alias("hub"), "done").dropDuplicates(["node"])
 
 

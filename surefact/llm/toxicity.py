@@ -1,31 +1,35 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the words whose presence tells the two labels apart in the labelled rows (root of the likelihood ratio at least `min_z`; the
-`max_terms` highest); their document frequencies count all documents. The examples are at most `max_examples` labelled
-rows, the smallest by a hash of their id. They stand in blocks of like examples; a table holds each term's
-largest weight per block. The blocks of a text's highest bounds
-give a floor for its k-th neighbour, and only blocks whose bound reaches it are read, so the neighbours are exact. Votes are weighted by cosine, and a monotone fit on the examples' own
-leave-one-out votes turns them into probabilities. Evidence is the neighbours.
+Every word of the examples is a term. A term's weight in a text is (1 + log tf) idf r: document frequencies count all documents,
+and r, between a tenth and 1.1, grows with what the term's presence tells of the label in the examples (G-test). Without r a text is near
+those that share its rare ordinary words, whatever their label. The examples are at most `max_examples` labelled rows, the smallest by a
+hash of their id, with `max_entries` distinct words together; their vectors are taken whole and no term is dropped.
+
+Examples stand in blocks of like ones; for each term and block that it stands in, a cell holds its largest weight and its
+postings. The blocks of a text's highest bounds give a floor for its k-th neighbour, and only blocks whose bound reaches it are
+read, so the neighbours are exact. Votes are weighted by cosine, and a monotone fit on the examples' own leave-one-out votes
+turns them into probabilities. Evidence is the neighbours and their cosines.
 
 Defined results: a null or empty text, or one without a term, gets the share of label 1 among such examples; ties
-go to the example that stands first; a document labelled both ways counts as 1; null labels and ids are
-not learnt from. Without examples of both labels every score is the share of label 1 (0 without any).
+go to the example that stands first; a document labelled both ways counts as 1; of rows with one id the least text is learnt from;
+null labels and ids are not learnt from. Without examples of both labels every score is the share of label 1 (0 without any).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, raw_texts, slices
+from .common import cut, raw_texts, slices, tidy
 from .hashing import ALNUM, Chunk, Table
 
 BLOCK = 128
+#: A term of G 30 has half the relevance of a sure one; the rest keep a tenth.
+SURE, LEAST = 30.0, 0.1
 
 
 def term_counts(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,73 +42,87 @@ def term_counts(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return d[at], k[at], np.diff(np.append(at, len(d)))
 
 
-@dataclass
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 ... of each run, one after another."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def relevance(n: np.ndarray, bad: np.ndarray, total: int, total_bad: int) -> np.ndarray:
+    """LEAST plus a share that grows with the G statistic of a term's presence against the label."""
+    xlogx = lambda x: x * np.log(np.where(x > 0, x, 1.0))
+    good = n - bad
+    g = 2 * (xlogx(bad) + xlogx(good) + xlogx(total_bad - bad) + xlogx(total - total_bad - good) - xlogx(n) - xlogx(total - n))
+    g = np.maximum(g + 2 * (xlogx(np.float64(total)) - xlogx(np.float64(total_bad)) - xlogx(np.float64(total - total_bad))), 0)
+    return LEAST + g * g / (g * g + SURE * SURE)
+
+
 class Model:
-    """Sparse unit vectors of the examples, in blocks, and the fit of votes to probabilities."""
-
-    terms: np.ndarray
-    idf: np.ndarray
-    labels: np.ndarray
-    ids: np.ndarray
-    rows: list[tuple[np.ndarray, np.ndarray]]
-    empty: float
-    k: int
-    prior: float
-    knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
-    levels: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
-
-    def __post_init__(self) -> None:
-        self.known = Table(len(self.terms))
-        if len(self.terms):
-            self.known.put(self.terms, np.arange(len(self.terms), dtype=np.int32))
+    """Sparse unit vectors of the examples as cells and postings, and the fit of votes to probabilities."""
+
+    def __init__(self, terms: np.ndarray, weight: np.ndarray, labels: np.ndarray, ids: pa.Array, doc: np.ndarray, term: np.ndarray, count: np.ndarray, k: int):
+        """terms: sorted keys, with their weights; doc, term, count: the examples' entries, by example."""
+        self.k, self.prior = k, float(labels.mean()) if len(labels) else 0.0
+        self.known = Table(max(1, len(terms)))
+        if len(terms):
+            self.known.put(terms, np.arange(len(terms), dtype=np.int32))
+        blank = np.bincount(doc, minlength=len(labels)) == 0
+        self.empty = float((labels[blank].sum() + self.prior) / (blank.sum() + 1))
+        self.weight, self.n_terms = weight, len(terms)
+        w = (1 + np.log(count)) * weight[term]
+        w /= np.sqrt(np.bincount(doc, weights=w * w, minlength=len(labels)))[doc]
         # Like examples side by side: by their heaviest terms.
-        heavy = [tuple(t[np.argsort(-w, kind="stable")][:3].tolist()) for t, w in self.rows]
-        order = sorted(range(len(self.rows)), key=heavy.__getitem__)
-        self.rows, self.labels, self.ids = [self.rows[i] for i in order], self.labels[order], self.ids[order]
-        self.blocks = max(1, -(-len(self.rows) // BLOCK))
-        sizes = [len(t) for t, _ in self.rows]
-        term = np.concatenate([t for t, _ in self.rows]) if self.rows else np.zeros(0, dtype=np.int64)
-        weight = np.concatenate([w for _, w in self.rows]) if self.rows else np.zeros(0)
-        doc = np.repeat(np.arange(len(self.rows)), sizes)
-        by = np.argsort(term, kind="stable")
-        self.post_doc, self.post_weight = doc[by], weight[by]
-        cell = term[by] * self.blocks + self.post_doc // BLOCK
-        self.begin = np.searchsorted(cell, np.arange(len(self.terms) * self.blocks + 1))
-        self.bound = np.zeros(len(self.terms) * self.blocks)
-        np.maximum.at(self.bound, cell, self.post_weight)
-        self.bound = self.bound.reshape(len(self.terms), self.blocks)
+        heavy = np.full((len(labels), 3), len(terms), dtype=np.int64)
+        by = np.lexsort((term, -w, doc))
+        begin = np.searchsorted(doc[by], np.arange(len(labels)))
+        for j in range(3):
+            some = np.nonzero(begin + j < np.searchsorted(doc[by], np.arange(len(labels)), side="right"))[0]
+            heavy[some, j] = term[by[begin[some] + j]]
+        order = np.lexsort((heavy[:, 2], heavy[:, 1], heavy[:, 0]))
+        place = np.empty(len(labels), dtype=np.int64)
+        place[order] = np.arange(len(labels))
+        self.labels, self.ids, self.n = labels[order].astype(np.int64), ids.take(pa.array(order)), len(labels)
+        self.blocks = max(1, -(-self.n // BLOCK))
+        doc = place[doc]
+        by = np.lexsort((doc, term))
+        doc, term, w = doc[by], term[by], w[by]
+        cell = term * self.blocks + doc // BLOCK
+        first = np.nonzero(np.append(True, cell[1:] != cell[:-1]))[0] if len(cell) else np.zeros(0, dtype=np.int64)
+        self.post_doc, self.post_weight = doc.astype(np.int32), w
+        self.cell_begin = np.append(first, len(cell)).astype(np.int64)
+        self.cell_block = (doc[first] // BLOCK).astype(np.int32)
+        self.cell_most = np.maximum.reduceat(w, first) if len(first) else w
+        self.term_begin = np.searchsorted(term[first], np.arange(len(terms) + 1))
+        self.knots = self.levels = np.array([0.0, 1.0])
 
     def vector(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(count)) * self.idf[term]
+        w = (1 + np.log(count)) * self.weight[term]
         return w / np.sqrt((w * w).sum())
 
-    def cosines(self, term: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Cosines with all examples of these blocks (0 elsewhere), whole postings at once."""
-        n = max(1, len(self.rows))
-        if 4 * len(blocks) > self.blocks:
-            lo, hi = self.begin[term * self.blocks].tolist(), self.begin[(term + 1) * self.blocks].tolist()
-            doc = np.concatenate([self.post_doc[a:b] for a, b in zip(lo, hi, strict=True)])
-            part = np.concatenate([w * self.post_weight[a:b] for a, b, w in zip(lo, hi, weight.tolist(), strict=True)])
-        else:
-            cells = (term[:, None] * self.blocks + blocks[None, :]).ravel()
-            lo, size = self.begin[cells], self.begin[cells + 1] - self.begin[cells]
-            at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-            doc, part = self.post_doc[at], self.post_weight[at] * np.repeat(np.repeat(weight, len(blocks)), size)
-        return np.bincount(doc, weights=part, minlength=n)
+    def read(self, cells: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Cosines with all examples from the postings of these cells, each with the text's weight of its term."""
+        begin = self.cell_begin[cells]
+        size = self.cell_begin[cells + 1] - begin
+        at = spread(begin, size)
+        return np.bincount(self.post_doc[at], weights=self.post_weight[at] * np.repeat(weight, size), minlength=max(1, self.n))
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with a positive cosine, and the cosines.
 
         The blocks of the highest bounds give a floor; every block whose bound reaches it is then read at once."""
-        bound = weight @ self.bound[term]
-        order = np.argsort(-bound, kind="stable")
-        score = self.cosines(term, weight, order[:2])
+        begin = self.term_begin[term]
+        size = self.term_begin[term + 1] - begin
+        cells, weight = spread(begin, size), np.repeat(weight, size)
+        block = self.cell_block[cells]
+        bound = np.bincount(block, weights=weight * self.cell_most[cells], minlength=self.blocks)
+        chosen = np.zeros(self.blocks, dtype=bool)
+        chosen[np.argsort(-bound, kind="stable")[:2]] = True
+        score = self.read(cells[some], weight[some]) if not (some := chosen[block]).all() else self.read(cells, weight)
         if leave >= 0:
             score[leave] = 0
         floor = np.partition(score, -self.k)[-self.k] if len(score) > self.k else 0.0
-        rest = order[(bound[order] * (1 + 1e-12) >= floor) & (bound[order] > 0)]
-        if len(rest) > 2:
-            score = self.cosines(term, weight, rest)
+        more = (bound * (1 + 1e-12) >= floor) & (bound > 0) & ~chosen
+        if more.any():
+            score += self.read(cells[some], weight[some]) if not (some := more[block]).all() else self.read(cells, weight)
             if leave >= 0:
                 score[leave] = 0
         if len(score) > self.k:
@@ -116,12 +134,23 @@ class Model:
     def vote(self, docs: np.ndarray, scores: np.ndarray) -> float:
         return float(((scores * self.labels[docs]).sum() + self.prior) / (scores.sum() + 1)) if len(docs) else self.empty
 
-    def calibrate(self, limit: int = 4000) -> None:
-        """Monotone fit (pool adjacent violators) of labels to the leave-one-out votes of evenly spread examples."""
-        some = [i for i in range(0, len(self.rows), max(1, len(self.rows) // limit)) if len(self.rows[i][0])]
-        if not some or len(set(self.labels[some].tolist())) < 2:
+    def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of one example."""
+        at = np.nonzero(self.post_doc == i)[0]
+        cell = np.searchsorted(self.cell_begin, at, side="right") - 1
+        return np.searchsorted(self.term_begin, cell, side="right") - 1, self.post_weight[at]
+
+    def calibrate(self) -> None:
+        """Monotone fit (pool adjacent violators) of labels to the leave-one-out votes of the examples."""
+        if len(set(self.labels.tolist())) < 2:
+            self.knots, self.levels = np.array([0.0]), np.array([self.prior])
             return
-        votes = np.array([self.vote(*self.nearest(*self.rows[i], leave=i)) for i in some])
+        by = np.argsort(self.post_doc, kind="stable")
+        cell = np.repeat(np.arange(len(self.cell_block)), np.diff(self.cell_begin))
+        term = np.repeat(np.arange(self.n_terms), np.diff(self.term_begin))[cell]
+        ends = np.searchsorted(self.post_doc[by], np.arange(self.n + 1)).tolist()
+        some = [i for i in range(self.n) if ends[i + 1] > ends[i]]
+        votes = np.array([self.vote(*self.nearest(term[o], self.post_weight[o], leave=i)) for i in some for o in [by[ends[i] : ends[i + 1]]]])
         order = np.argsort(votes, kind="stable")
         pools: list[list[float]] = []  # sum of labels, number, sum of votes
         for v, y in zip(votes[order].tolist(), self.labels[some][order].tolist(), strict=True):
@@ -132,104 +161,87 @@ class Model:
         self.knots = np.array([v / n for _, n, v in pools])
         self.levels = np.array([(y + 0.02) / (n + 0.04) for y, n, _ in pools])
 
-    def score(self, raw: list[bytes]) -> list[tuple[float, list[int], list[float]]]:
+    def score(self, raw: list[bytes]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each text: probability, places of its neighbours, cosines."""
         c = Chunk(raw, ALNUM)
         slot = self.known.get(c.key)
         hit = slot >= 0
-        cell, count = np.unique(c.word_doc[hit] * max(1, len(self.terms)) + slot[hit], return_counts=True)
-        doc, term = np.divmod(cell, max(1, len(self.terms)))
+        cell, count = np.unique(c.word_doc[hit] * max(1, self.n_terms) + slot[hit], return_counts=True)
+        doc, term = np.divmod(cell, max(1, self.n_terms))
         ends = np.searchsorted(doc, np.arange(c.n + 1))
+        none = np.zeros(0, dtype=np.int64)
         out, seen = [], {}
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            if a == b or not self.rows:
-                out.append((self.empty, [], []))
+            if a == b:
+                out.append((self.empty, none, none.astype(np.float64)))
                 continue
             key = (term[a:b].tobytes(), count[a:b].tobytes())
             if key not in seen:
                 docs, scores = self.nearest(term[a:b], self.vector(term[a:b], count[a:b]))
-                p = float(np.clip(np.interp(self.vote(docs, scores), self.knots, self.levels), 0, 1)) if len(docs) else self.empty
-                seen[key] = (p, self.ids[docs].tolist(), scores.tolist())
+                seen[key] = (float(np.clip(np.interp(self.vote(docs, scores), self.knots, self.levels), 0, 1)), docs, scores)
             out.append(seen[key])
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_terms: int = 2048, min_z: float = 4.5, k: int = 15) -> Model:
-    """Learn from labels (doc_id, toxic); all of `docs` give document frequencies. The driver gets bounded rows: of terms
-    `max_terms`, of examples `max_examples` with at most `max_terms` entries each."""
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, max_entries: int = 4_000_000, k: int = 25) -> Model:
+    """Learn from labels (doc_id, toxic); all of `docs` give document frequencies. The driver and every task get the examples'
+    distinct words: `max_entries` rows of some 20 bytes at most."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples))
-    # At most max_examples rows of 12 bytes: a proven bound.
-    sample = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    sample = cut(sample.withColumn("text", F.coalesce("text", F.lit(""))))
+    # At most max_examples ids: a proven bound.
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
 
-    def by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                toxic = np.asarray(part.column(part.schema.get_field_index("toxic")).to_pylist(), dtype=np.int64)
-                doc, key, _ = term_counts(Chunk(raw_texts(part), ALNUM))
-                term, at = np.unique(key, return_inverse=True)
-                bad = np.bincount(at, weights=toxic[doc], minlength=len(term)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(np.bincount(at, minlength=len(term)), pa.int64()), pa.array(bad)], ["term", "n", "bad"])
-
-    size = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    n, bad = int(size[0]), int(size[1])
-    part = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
-    a, b = F.col("bad").cast("double"), (F.col("n") - F.col("bad")).cast("double")
-    total = sum(x * np.log(x) if x else 0.0 for x in (n,)) - sum(x * np.log(x) if x else 0.0 for x in (bad, n - bad))
-    told_apart = 2 * (part(a) + part(b) + part(bad - a) + part((n - bad) - b) - part(a + b) - part(n - a - b) + F.lit(float(total)))
-    counted = sample.mapInArrow(by_label, "term long, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    told = counted.where("n >= 5").withColumn("z", F.sqrt(F.greatest(told_apart, F.lit(0.0)))).where(F.col("z") >= min_z).orderBy(F.desc("z"), "term").limit(max_terms)
-    terms = np.array([r.term for r in told.select("term").collect()], dtype=np.int64).view(np.uint64)
-    table = Table(max(1, len(terms)))
-    if len(terms):
-        table.put(terms, np.arange(len(terms), dtype=np.int32))
+                doc, key, count = term_counts(Chunk(raw_texts(part), ALNUM))
+                ends = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (pa.array(key.view(np.int64)), pa.array(count.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(ends), pa.int64()), *lists], ["doc_id", "toxic", "n", "key", "count"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    vectors = cut(sample.select("doc_id", "toxic", "text").mapInArrow(tidy(entries), f"doc_id {kind}, toxic int, n long, key array<long>, count array<int>"))
+    # The running sum is over max_examples numbers.
+    upto = vectors.select("doc_id", F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")).alias("upto")).where(F.col("upto") <= max_entries)
+    got = vectors.join(F.broadcast(upto.select("doc_id")), "doc_id").select("doc_id", "toxic", "n", "key", "count").toArrow().sort_by("doc_id")
+    column = lambda c: got.column(c).combine_chunks()
+    toxic, sizes = column("toxic").to_numpy(zero_copy_only=False).astype(np.int64), column("n").to_numpy(zero_copy_only=False)
+    flat = lambda c: column(c).flatten().to_numpy(zero_copy_only=False)
+    doc, count = np.repeat(np.arange(len(sizes)), sizes), flat("count").astype(np.float64)
+    terms, term = np.unique(flat("key").view(np.uint64), return_inverse=True)
+    keys = docs.sparkSession.sparkContext.broadcast(terms)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(len(terms), dtype=np.int64), 0
+        table, n = Table(max(1, len(keys.value))), len(keys.value)
+        if n:
+            table.put(keys.value, np.arange(n, dtype=np.int32))
+        total, rows = np.zeros(n, dtype=np.int64), 0
         for batch in batches:
             for part in slices(batch, "text"):
                 c = Chunk(raw_texts(part), ALNUM)
                 slot = table.get(c.key)
                 hit = slot >= 0
-                total += np.bincount(np.unique(c.word_doc[hit] * max(1, len(terms)) + slot[hit]) % max(1, len(terms)), minlength=len(terms))[: len(terms)]
+                total += np.bincount(np.unique(c.word_doc[hit] * max(1, n) + slot[hit]) % max(1, n), minlength=n)[:n]
                 rows += c.n
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(terms)), -1), pa.int64()), pa.array(np.append(total, rows), pa.int64())], ["slot", "n"])
-
-    seen = {r.slot: r.n for r in docs.select("text").mapInArrow(frequency, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
-    df = np.array([seen.get(k, 0) for k in range(len(terms))], dtype=np.float64)
-    idf = np.log(1 + seen.get(-1, 0) / (1 + df))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                c = Chunk(raw_texts(part), ALNUM)
-                slot = table.get(c.key)
-                hit = slot >= 0
-                cell, count = np.unique(c.word_doc[hit] * max(1, len(terms)) + slot[hit], return_counts=True)
-                doc, term = np.divmod(cell, max(1, len(terms)))
-                ends = np.searchsorted(doc, np.arange(c.n + 1))
-                own = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([term[a:b].astype(np.int16) for a, b in own], pa.list_(pa.int16())), pa.array([count[a:b].astype(np.int32) for a, b in own], pa.list_(pa.int32()))],
-                    ["doc_id", "toxic", "term", "count"],
-                )
-
-    kind = sample.schema["doc_id"].dataType.simpleString()
-    got = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, term array<smallint>, count array<int>").toArrow().sort_by("doc_id")
-    ids, toxic = got.column("doc_id").to_numpy(), got.column("toxic").to_numpy()
-    sparse = [(np.array(t, dtype=np.int64), np.array(c, dtype=np.float64)) for t, c in zip(got.column("term").to_pylist(), got.column("count").to_pylist(), strict=True)]
-    blank = np.array([len(t) == 0 for t, _ in sparse], dtype=bool)
-    share = bad / n if n else 0.0
-    empty = float((toxic[blank].sum() + 1 * share) / (blank.sum() + 1)) if n else 0.0
-    model = Model(terms, idf, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), [], empty, k, share)
-    rows = [(t, model.vector(t, c)) for (t, c), e in zip(sparse, blank.tolist(), strict=True) if not e]
-    model = Model(terms, idf, toxic[~blank].astype(np.int64) if n else model.labels, ids[~blank] if n else model.ids, rows, empty, k, share)
+        some = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(total[some], rows), pa.int64())], ["slot", "n"])
+
+    # One row for each term at most.
+    seen = docs.select("text").mapInArrow(tidy(frequency), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    slot, n = seen.column("slot").to_numpy(), seen.column("n").to_numpy()
+    df = np.zeros(len(terms))
+    df[slot[slot >= 0]] = n[slot >= 0]
+    idf = np.log(1 + float(n[slot < 0].sum()) / (1 + df))
+    keys.unpersist()
+    present = np.bincount(term, minlength=len(terms)).astype(np.float64)
+    r = relevance(present, np.bincount(term, weights=toxic[doc], minlength=len(terms)), len(toxic), int(toxic.sum()))
+    model = Model(terms, idf * r, toxic, column("doc_id"), doc, term, count, k)
     model.calibrate()
     return model
 
 
 def score(docs: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
-    """Per row of (doc_id, text): score double and, if asked for, the neighbours' ids and cosines."""
+    """Per row of (doc_id, text): score double and, if asked for, the neighbours' ids and cosines, nearest first."""
     kept = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -239,12 +251,13 @@ def score(docs: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
                 got = kept.value.score(raw_texts(part))
                 columns, names = [part.column(0), pa.array([p for p, _, _ in got], pa.float64())], ["doc_id", "score"]
                 if evidence:
-                    columns += [pa.array([i for _, i, _ in got], pa.list_(pa.int64())), pa.array([s for _, _, s in got], pa.list_(pa.float64()))]
+                    ends = pa.array(np.append(0, np.cumsum([len(d) for _, d, _ in got])), pa.int32())
+                    columns += [pa.ListArray.from_arrays(ends, kept.value.ids.take(pa.array(np.concatenate([d for _, d, _ in got])))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([s for _, _, s in got])))]
                     names += ["neighbours", "cosines"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    more = ", neighbours array<long>, cosines array<double>" if evidence else ""
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double{more}")
+    more = f", neighbours array<{kind}>, cosines array<double>" if evidence else ""
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double{more}")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -256,4 +269,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
             for part in slices(batch, "text"):
                 yield part.filter(pa.array([p < threshold for p, _, _ in kept.value.score(raw_texts(part))]))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

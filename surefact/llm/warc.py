@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 ARCHIVE_BYTES = 16 << 20
 SAMPLE_BYTES = 2 << 20
@@ -125,7 +125,7 @@ def write(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
         if kept:
             yield done()
 
-    return told.select("digest", "page_id", "url", "html", "bytes", "response").mapInArrow(run, "archive string, records long, content binary")
+    return told.select("digest", "page_id", "url", "html", "bytes", "response").mapInArrow(tidy(run), "archive string, records long, content binary")
 
 
 def read(archives: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def read(archives: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return archives.select("content").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.select("content").mapInArrow(tidy(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
