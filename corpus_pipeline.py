@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surefact.llm import packing, secrets, simhash, toxicity
-from surefact.llm.common import cut, doc_bucket, table
+from surefact.llm.common import cut, doc_bucket, dropped, table
 from surefact.llm.queries import TOKENIZER
 
 #: SQL cannot express these stages; tests hold them against brute force.
@@ -48,7 +48,8 @@ STAGES = [("toxicity", clean), ("near_duplicates", distinct), ("secrets", redact
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        last, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs)
+            dropped(last)
     return docs
