@@ -6,8 +6,9 @@ those that share its rare ordinary words, whatever their label. The examples are
 hash of their id, with `max_entries` distinct words together; their vectors are taken whole and no term is dropped.
 
 Examples stand in blocks of like ones; for each term and block that it stands in, a cell holds its largest weight and its
-postings. The blocks of a text's highest bounds give a floor for its k-th neighbour, and only blocks whose bound reaches it are
-read, so the neighbours are exact. Votes are weighted by cosine, and a monotone fit on the examples' own leave-one-out votes
+postings. Terms of an eighth of the examples or more have a full row of weights instead, multiplied for many texts at once. The largest
+sum of these in a block and the cells of the other terms bound the block's cosines: the blocks of the highest bounds
+give a floor for the k-th neighbour, and only blocks whose bound reaches it are read, so the neighbours are exact (cosines to 12 decimals). Votes are weighted by cosine, and a monotone fit on the examples' own leave-one-out votes
 turns them into probabilities. Evidence is the neighbours and their cosines.
 
 Defined results: a null or empty text, or one without a term, gets the share of label 1 among such examples; ties
@@ -27,7 +28,10 @@ from pyspark.sql import functions as F
 from .common import cut, raw_texts, slices, tidy
 from .hashing import ALNUM, Chunk, Table
 
-BLOCK = 128
+BLOCK = 256
+#: Texts that are multiplied with the full rows at once.
+GROUP = 256
+FULL = 8
 #: A term of G 30 has half the relevance of a sure one; the rest keep a tenth.
 SURE, LEAST = 30.0, 0.1
 
@@ -85,6 +89,12 @@ class Model:
         doc = place[doc]
         by = np.lexsort((doc, term))
         doc, term, w = doc[by], term[by], w[by]
+        often = np.bincount(term, minlength=len(terms)) * FULL >= max(FULL, self.n)
+        self.full = np.where(often, np.cumsum(often) - 1, -1)
+        self.rows = np.zeros((int(often.sum()), self.blocks * BLOCK))
+        self.rows[self.full[term[often[term]]], doc[often[term]]] = w[often[term]]
+        rest = ~often[term]
+        doc, term, w = doc[rest], term[rest], w[rest]
         cell = term * self.blocks + doc // BLOCK
         first = np.nonzero(np.append(True, cell[1:] != cell[:-1]))[0] if len(cell) else np.zeros(0, dtype=np.int64)
         self.post_doc, self.post_weight = doc.astype(np.int32), w
@@ -94,63 +104,79 @@ class Model:
         self.term_begin = np.searchsorted(term[first], np.arange(len(terms) + 1))
         self.knots = self.levels = np.array([0.0, 1.0])
 
-    def vector(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(count)) * self.weight[term]
-        return w / np.sqrt((w * w).sum())
-
     def read(self, cells: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Cosines with all examples from the postings of these cells, each with the text's weight of its term."""
+        """Parts of the cosines from the postings of these cells, each with the text's weight of its term."""
         begin = self.cell_begin[cells]
         size = self.cell_begin[cells + 1] - begin
         at = spread(begin, size)
-        return np.bincount(self.post_doc[at], weights=self.post_weight[at] * np.repeat(weight, size), minlength=max(1, self.n))
+        return np.bincount(self.post_doc[at], weights=self.post_weight[at] * np.repeat(weight, size), minlength=self.blocks * BLOCK)
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples with a positive cosine, and the cosines.
+    def nearest(self, term: np.ndarray, weight: np.ndarray, score: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples with a positive cosine, and the cosines. score: what the full rows give to each.
 
         The blocks of the highest bounds give a floor; every block whose bound reaches it is then read at once."""
         begin = self.term_begin[term]
         size = self.term_begin[term + 1] - begin
         cells, weight = spread(begin, size), np.repeat(weight, size)
         block = self.cell_block[cells]
-        bound = np.bincount(block, weights=weight * self.cell_most[cells], minlength=self.blocks)
+        bound = score.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(block, weights=weight * self.cell_most[cells], minlength=self.blocks)
         chosen = np.zeros(self.blocks, dtype=bool)
         chosen[np.argsort(-bound, kind="stable")[:2]] = True
-        score = self.read(cells[some], weight[some]) if not (some := chosen[block]).all() else self.read(cells, weight)
+        some = chosen[block]
+        score = score + self.read(cells[some], weight[some])
         if leave >= 0:
             score[leave] = 0
-        floor = np.partition(score, -self.k)[-self.k] if len(score) > self.k else 0.0
-        more = (bound * (1 + 1e-12) >= floor) & (bound > 0) & ~chosen
+        sure = score.reshape(self.blocks, BLOCK)[chosen].ravel()
+        floor = np.partition(sure, -self.k)[-self.k] if len(sure) > self.k else 0.0
+        more = (bound * (1 + 1e-12) + 1e-12 >= floor) & (bound > 0) & ~chosen
         if more.any():
-            score += self.read(cells[some], weight[some]) if not (some := more[block]).all() else self.read(cells, weight)
+            some = more[block]
+            score += self.read(cells[some], weight[some])
             if leave >= 0:
                 score[leave] = 0
+        score = np.where(np.repeat(chosen | more, BLOCK), np.round(score, 12), 0)
         if len(score) > self.k:
             floor = np.partition(score, -self.k)[-self.k]
         docs = np.nonzero((score > 0) & (score >= floor))[0]
         best = np.lexsort((docs, -score[docs]))[: self.k]
         return docs[best], score[docs[best]]
 
+    def neighbours(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, leave: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each of n texts, given by their entries: the places of its neighbours and the cosines. leave: text i is example i."""
+        ends = np.searchsorted(doc, np.arange(n + 1))
+        for i in range(0, n, GROUP):
+            j = min(n, i + GROUP)
+            d, t, w = (x[ends[i] : ends[j]] for x in (doc, term, weight))
+            full = self.full[t] >= 0
+            texts = np.zeros((j - i, len(self.rows)))
+            texts[d[full] - i, self.full[t[full]]] = w[full]
+            scores = texts @ self.rows
+            d, t, w = d[~full], t[~full], w[~full]
+            cuts = np.searchsorted(d, np.arange(i, j + 1)).tolist()
+            for k in range(j - i):
+                a, b = cuts[k], cuts[k + 1]
+                yield self.nearest(t[a:b], w[a:b], scores[k], i + k if leave else -1)
+
     def vote(self, docs: np.ndarray, scores: np.ndarray) -> float:
         return float(((scores * self.labels[docs]).sum() + self.prior) / (scores.sum() + 1)) if len(docs) else self.empty
 
-    def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of one example."""
-        at = np.nonzero(self.post_doc == i)[0]
-        cell = np.searchsorted(self.cell_begin, at, side="right") - 1
-        return np.searchsorted(self.term_begin, cell, side="right") - 1, self.post_weight[at]
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Example, term and weight of all entries, by example."""
+        cell = np.repeat(np.arange(len(self.cell_block)), np.diff(self.cell_begin))
+        row, place = np.nonzero(self.rows)
+        doc = np.append(self.post_doc, place)
+        term = np.append(np.repeat(np.arange(self.n_terms), np.diff(self.term_begin))[cell], np.nonzero(self.full >= 0)[0][row])
+        order = np.lexsort((term, doc))
+        return doc[order], term[order], np.append(self.post_weight, self.rows[row, place])[order]
 
     def calibrate(self) -> None:
         """Monotone fit (pool adjacent violators) of labels to the leave-one-out votes of the examples."""
         if len(set(self.labels.tolist())) < 2:
             self.knots, self.levels = np.array([0.0]), np.array([self.prior])
             return
-        by = np.argsort(self.post_doc, kind="stable")
-        cell = np.repeat(np.arange(len(self.cell_block)), np.diff(self.cell_begin))
-        term = np.repeat(np.arange(self.n_terms), np.diff(self.term_begin))[cell]
-        ends = np.searchsorted(self.post_doc[by], np.arange(self.n + 1)).tolist()
-        some = [i for i in range(self.n) if ends[i + 1] > ends[i]]
-        votes = np.array([self.vote(*self.nearest(term[o], self.post_weight[o], leave=i)) for i in some for o in [by[ends[i] : ends[i + 1]]]])
+        doc, term, weight = self.entries()
+        some = np.unique(doc)
+        votes = np.array([self.vote(d, s) for d, s in self.neighbours(doc, term, weight, self.n, leave=True)])[some]
         order = np.argsort(votes, kind="stable")
         pools: list[list[float]] = []  # sum of labels, number, sum of votes
         for v, y in zip(votes[order].tolist(), self.labels[some][order].tolist(), strict=True):
@@ -168,19 +194,21 @@ class Model:
         hit = slot >= 0
         cell, count = np.unique(c.word_doc[hit] * max(1, self.n_terms) + slot[hit], return_counts=True)
         doc, term = np.divmod(cell, max(1, self.n_terms))
-        ends = np.searchsorted(doc, np.arange(c.n + 1))
-        none = np.zeros(0, dtype=np.int64)
-        out, seen = [], {}
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            if a == b:
-                out.append((self.empty, none, none.astype(np.float64)))
-                continue
-            key = (term[a:b].tobytes(), count[a:b].tobytes())
-            if key not in seen:
-                docs, scores = self.nearest(term[a:b], self.vector(term[a:b], count[a:b]))
-                seen[key] = (float(np.clip(np.interp(self.vote(docs, scores), self.knots, self.levels), 0, 1)), docs, scores)
-            out.append(seen[key])
-        return out
+        w = (1 + np.log(count)) * self.weight[term]
+        w /= np.sqrt(np.bincount(doc, weights=w * w, minlength=c.n))[doc]
+        blank = np.bincount(doc, minlength=c.n) == 0
+        # Equal runs of words are equal texts to the model.
+        size = np.bincount(doc, minlength=c.n)
+        ends = np.cumsum(size).tolist()
+        own: dict[tuple[bytes, bytes], int] = {}
+        first = [own.setdefault((term[b - n : b].tobytes(), count[b - n : b].tobytes()), i) for i, (b, n) in enumerate(zip(ends, size.tolist(), strict=True))]
+        asked = np.array(sorted(set(first)), dtype=np.int64)
+        number = np.full(c.n, -1, dtype=np.int64)
+        number[asked] = np.arange(len(asked))
+        kept = number[doc] >= 0
+        found = list(self.neighbours(number[doc[kept]], term[kept], w[kept], len(asked)))
+        levels = [self.empty if blank[i] else float(np.clip(np.interp(self.vote(*x), self.knots, self.levels), 0, 1)) for i, x in zip(asked.tolist(), found, strict=True)]
+        return [(levels[k], *found[k]) for k in number[first].tolist()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, max_entries: int = 4_000_000, k: int = 25) -> Model:

@@ -327,11 +327,13 @@ def test_toxicity_neighbours_are_exact_and_useful(spark):
     p = {r.doc_id: r.score for r in toxicity.score(d, m, evidence=False).collect()}
     held = [i for i in range(600) if i % 3 == 1]
     assert sum((p[i] >= 0.7) == (i % 5 == 0) for i in held) >= 0.97 * len(held)
-    vec = [dict(zip(*(x.tolist() for x in m.example(k)), strict=True)) for k in range(m.n)]
+    doc, term, weight = m.entries()
+    vec = [{} for _ in range(m.n)]
+    for i, t, w in zip(doc.tolist(), term.tolist(), weight.tolist(), strict=True):
+        vec[i][t] = w
     assert all(abs(sum(w * w for w in v.values()) - 1) < 1e-9 for v in vec if v)
-    for q in range(0, m.n, 17):
+    for q, (_, got) in enumerate(m.neighbours(doc, term, weight, m.n)):
         want = sorted(((-sum(w * vec[q].get(t, 0) for t, w in vec[k].items()), k) for k in range(m.n)))[: m.k]
-        _, got = m.nearest(*m.example(q))
         assert np.allclose(got, [-s for s, _ in want if s < 0])
     assert toxicity.keep_clean(d, m).count() == sum(x < 0.7 for x in p.values())
     none = toxicity.fit(d.limit(0), lab.limit(0))
