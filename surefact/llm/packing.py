@@ -1,12 +1,14 @@
 """Lexical retrieval packing: documents that share rare tokens fill a window together.
 
-A shard is a run of documents of `SHARD_TOKENS` tokens in the order they are read; it gets a BM25 inverted index over token
-ids. A window starts with a seed (what is left of the document cut last, else the next unused one); all of its
-tokens query the index, and unused neighbours fill the window by falling score, as many as it takes. The one that no
-longer fits is cut there and seeds the next window, so that only the last window of a task is not full. No row is
-shuffled and no task holds more than one shard.
-
-Defined results: a null or empty text is its end token alone; ties go to the document read first; equal rows are packed
+Documents are dealt by content: each gets the three least hashes of its words, and rows are ranged and sorted by these (and
+a hash of the id, so that a group of copies may be many tasks). Copies and documents that share such a word stand together, whatever
+file they came from. A shard is a run of documents of `SHARD_TOKENS` tokens in that order; it gets a BM25 inverted index over token
+ids. A window starts with a seed (what is left of the document cut last,
+else the next unused one); all of its tokens query the index, and unused neighbours fill the window by falling score, as many as
+it takes. The one that no longer fits is cut there and seeds the next window, so that only the last window of a task is not
+full. No task holds more than one shard.
+
+Defined results: a null or empty text is its end token alone; ties go to the document that stands first; equal rows are packed
 each; documents longer than a window fill whole windows alone.
 """
 
@@ -18,56 +20,84 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import bpe
-from .common import slices, texts, tidy
+from .common import raw_texts, slices, texts, tidy
+from .hashing import SOLID, Chunk
 
 WINDOW = 2048
 SHARD_TOKENS = 2_000_000
 END = 1
 K1, B = 1.2, 0.75
+FIRST = 64  # neighbours that are sorted before the others; all can be had
 
 
 class Index:
-    """BM25 over token ids below 2**16, of documents given by one array of ids and where each ends."""
+    """BM25 over token ids, of documents given by one array of ids and where each ends.
+
+    A token of an eighth of the documents or more has a row of all impacts, any other a posting list. Both are made anew without
+    the used documents whenever a quarter of those left have been used."""
 
     def __init__(self, ids: np.ndarray, ends: np.ndarray):
-        self.n = n = len(ends)
+        n = len(ends)
         sizes = np.diff(ends, prepend=0)
-        kind = np.uint32 if n < 1 << 16 else np.uint64
-        cells = np.repeat(np.arange(n, dtype=kind) << kind(16), sizes) | ids.astype(kind)
+        kind, bits = (np.uint32, 16) if n < 1 << 16 and int(ids.max(initial=0)) < 1 << 16 else (np.uint64, 32)
+        cells = np.repeat(np.arange(n, dtype=kind) << kind(bits), sizes) | ids.astype(kind)
         cells.sort()
-        first = np.append(True, cells[1:] != cells[:-1]) if len(cells) else np.zeros(0, dtype=bool)
-        at = np.nonzero(first)[0]
-        tf = np.diff(np.append(at, len(cells))).astype(np.float32)
+        at = np.nonzero(np.append(True, cells[1:] != cells[:-1]))[0] if len(cells) else np.zeros(0, dtype=np.int64)
+        tf = np.diff(np.append(at, len(cells))).astype(np.float64)
         cells = cells[at]
-        doc, term = (cells >> kind(16)).astype(np.int32), (cells & kind(0xFFFF)).astype(np.uint16)
-        self.terms, self.doc_ends = term, np.searchsorted(doc, np.arange(n + 1))
-        df = np.bincount(term, minlength=1 << 16)
-        self.df, self.idf = df, np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        doc, token = (cells >> kind(bits)).astype(np.int64), (cells & kind((1 << bits) - 1)).astype(np.int64)
+        names, term, df = np.unique(token, return_inverse=True, return_counts=True)
+        # Tokens that stand in one document alone find nobody.
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        useful = df > 1
         mean = max(1.0, float(sizes.mean()) if n else 1.0)
-        impact = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc].astype(np.float32) / mean))
-        order = np.argsort(term, kind="stable")
-        self.post_doc, self.impact, self.begin = doc[order], impact[order], np.append(0, np.cumsum(df))
-        self.left = n
-
-    def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
-        """All unused documents that share a token with the seed, best first."""
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
+        kept = useful[term]
+        doc, term, impact = doc[kept], (np.cumsum(useful) - 1)[term[kept]], impact[kept]
+        self.terms, self.doc_ends = term, np.searchsorted(doc, np.arange(n + 1))
+        often = df[useful] * 8 >= n
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        full = often[term]
+        self.rows = np.zeros((int(often.sum()), n), dtype=np.float32)
+        self.rows[self.row[term[full]], doc[full]] = impact[full]
+        rest = np.nonzero(~full)[0]
+        rest = rest[np.argsort(term[rest], kind="stable")]
+        self.post_doc, self.impact = doc[rest], impact[rest]
+        self.begin = np.searchsorted(term[rest], np.arange(len(often) + 1))
+        self.alive = np.arange(n)
+
+    def shrink(self, used: np.ndarray) -> None:
+        keep = ~used[self.alive]
+        if np.count_nonzero(keep) > 0.75 * len(keep):
+            return
+        number = np.cumsum(keep) - 1
+        self.alive, self.rows = self.alive[keep], self.rows[:, keep]
+        posts = keep[self.post_doc]
+        self.begin = np.append(0, np.cumsum(posts))[self.begin]
+        self.post_doc, self.impact = number[self.post_doc[posts]], self.impact[posts]
+
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """All unused documents that share a token with the seed, best first; the order among equals is that of the documents."""
+        self.shrink(used)
         terms = self.terms[self.doc_ends[seed] : self.doc_ends[seed + 1]]
-        terms = terms[self.df[terms] > 1]  # others stand in the seed alone
-        if not len(terms):
-            return []
-        left = self.n - int(np.count_nonzero(used))
-        if left < 0.75 * self.left:  # postings of used documents would score nothing
-            keep, self.left = ~used[self.post_doc], left
-            self.begin = np.append(0, np.cumsum(keep))[self.begin]
-            self.post_doc, self.impact = self.post_doc[keep], self.impact[keep]
-        lo, hi = self.begin[terms].tolist(), self.begin[terms.astype(np.int64) + 1].tolist()
-        docs = np.concatenate([self.post_doc[a:b] for a, b in zip(lo, hi, strict=True)])
-        score = np.bincount(docs, np.concatenate([self.impact[a:b] for a, b in zip(lo, hi, strict=True)]), self.n)
-        score[used] = 0
+        if not len(terms) or not len(self.alive):
+            return
+        row = self.row[terms]
+        asked = np.zeros(len(self.rows), dtype=np.float32)
+        asked[row[row >= 0]] = 1
+        terms = terms[row < 0]
+        lo, hi = self.begin[terms], self.begin[terms + 1]
+        at = np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo) + np.arange(int((hi - lo).sum()))
+        score = np.bincount(self.post_doc[at], self.impact[at], len(self.alive)) + asked @ self.rows
+        score[used[self.alive]] = 0
         some = np.nonzero(score > 0)[0]
-        return some[np.argsort(-score[some], kind="stable")].tolist()
+        score = -score[some]
+        floor = np.partition(score, FIRST)[FIRST] if len(some) > FIRST else np.inf
+        for part in (np.nonzero(score <= floor)[0], np.nonzero(score > floor)[0]):
+            yield from self.alive[some[part[np.argsort(score[part], kind="stable")]]].tolist()
 
 
 class Packer:
@@ -118,6 +148,29 @@ class Packer:
             seed = -1
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), dealt and sorted by the three least hashes of each text's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                c = Chunk(raw_texts(part), SOLID)
+                keys, own = np.zeros((3, c.n), dtype=np.int64), c.key >> np.uint64(1)
+                some = np.nonzero(c.counts)[0]
+                for k in range(3):
+                    # A word that was least before counts no more; a text of fewer words repeats its last.
+                    least = np.minimum.reduceat(own, c.first[some]) if len(some) else own
+                    known = least < np.uint64(1 << 63)
+                    keys[k, some] = np.where(known, least, keys[k - 1, some]).astype(np.int64)
+                    own = np.where(own == np.repeat(least, c.counts[some]), np.uint64(1 << 63), own)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *(pa.array(x) for x in keys)], ["doc_id", "text", "k1", "k2", "k3"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, text string, k1 long, k2 long, k3 long")
+    order = ["k1", "k2", "k3", F.xxhash64("doc_id")]
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order, "doc_id").select("doc_id", "text")
+
+
 def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all rows of (doc_id, text)."""
 
@@ -157,4 +210,4 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
             yield done()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt(docs).mapInArrow(tidy(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
