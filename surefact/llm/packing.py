@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .common import raw_texts, slices, texts, tidy
-from .hashing import SOLID, Chunk
+from .hashing import SOLID, Chunk, mix
 
 WINDOW = 2048
 SHARD_TOKENS = 2_000_000
@@ -161,7 +161,7 @@ def dealt(docs: DataFrame) -> DataFrame:
                     # A word that was least before counts no more; a text of fewer words repeats its last.
                     least = np.minimum.reduceat(own, c.first[some]) if len(some) else own
                     known = least < np.uint64(1 << 63)
-                    keys[k, some] = np.where(known, least, keys[k - 1, some]).astype(np.int64)
+                    keys[k, some] = np.where(known, mix(least).view(np.int64), keys[k - 1, some])  # least hashes of long texts are low, mixed ones anywhere
                     own = np.where(own == np.repeat(least, c.counts[some]), np.uint64(1 << 63), own)
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], *(pa.array(x) for x in keys)], ["doc_id", "text", "k1", "k2", "k3"])
 
