@@ -15,9 +15,9 @@ from pyspark.sql.window import Window
 
 from .functions import gate, text, vec
 from .operators import facts as store
-from .operators import metrics, models, recall, registry
+from .operators import leaks, metrics, models, recall, registry
 from .plans import memory_query
-from .sources.io import table
+from .sources.io import scratch, table
 from .streaming import facts as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,10 +38,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import extended  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import extended  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -119,7 +123,8 @@ def active_facts_last_op(spark: SparkSession, d: str) -> DataFrame:
     return store.state(log(spark, d))
 
 
-@query(f"with {LOG} select subj, rel, arg_max(obj, seq) as obj, arg_max(provenance, seq) as provenance, max(seq) as seq from log where op = 'write' group by subj, rel")
+@query(f"""with {LOG}, w as (select *, row_number() over (partition by subj, rel order by seq desc) as k from log where op = 'write')
+select subj, rel, obj, provenance, seq from w where k = 1 and not exists (select 1 from log f where f.op = 'forget' and f.subj = w.subj and f.rel = w.rel and f.obj is not distinct from w.obj and f.seq > w.seq)""")
 def supersede_latest(spark: SparkSession, d: str) -> DataFrame:
     return store.supersede(log(spark, d))
 
@@ -167,15 +172,16 @@ def asked_keys(spark: SparkSession, d: str) -> DataFrame:
     return f.unionByName(f.withColumn("subj", F.concat(F.lit("no "), "subj")))
 
 
-DIM = 256
+#: 32 facts a page lie below half of what 1024 dimensions hold for 25 names.
+DIM = 1024
 _BIT = "case when (instr('0123456789abcdef', substr(md5({n} || '#' || (p // 128)), p % 128 // 4 + 1, 1)) - 1) & (8 >> (p % 4)) > 0 then 1 else -1 end"
 RECALL = f"""pos as (select unnest(range({DIM})) as p),
 f as (select c_custkey // {PAGE} as page, c_name as subj, 'in nation' as rel, n_name as obj from customer join nation on c_nationkey = n_nationkey),
 asked as (select page, subj, rel from f union all select page, 'no ' || subj, rel from f),
 names as (select distinct subj as name from asked union select distinct rel from f union select distinct obj from f),
-atoms as (select name, p, {_BIT.format(n="name")} as x from names, pos),
-bundle as (select page, pos.p, case when sum(s.x * r.x * o.x) >= 0 then 1 else -1 end as b from f, pos
-  join atoms s on s.name = subj and s.p = pos.p join atoms r on r.name = rel and r.p = (pos.p + {DIM} - 1) % {DIM} join atoms o on o.name = obj and o.p = (pos.p + {DIM} - 2) % {DIM} group by page, pos.p),
+atoms as materialized (select name, p, {_BIT.format(n="name")} as x from names, pos),
+bundle as (select page, s.p, case when sum(s.x * r.x * o.x) >= 0 then 1 else -1 end as b from f
+  join atoms s on s.name = subj join atoms r on r.name = rel and r.p = (s.p + {DIM} - 1) % {DIM} join atoms o on o.name = obj and o.p = (s.p + {DIM} - 2) % {DIM} group by page, s.p),
 got as (select a.page, a.subj, a.rel, (bundle.p + {DIM} - 2) % {DIM} as p, b * s.x * r.x as x from asked a join bundle on bundle.page = a.page
   join atoms s on s.name = a.subj and s.p = bundle.p join atoms r on r.name = a.rel and r.p = (bundle.p + {DIM} - 1) % {DIM}),
 dots as (select g.page, g.subj, g.rel, c.name, sum(g.x * c.x) as dot from got g join atoms c on c.p = g.p where c.name in (select distinct obj from f) group by all),
@@ -221,10 +227,22 @@ def bind_permute_algebra(spark: SparkSession, d: str) -> DataFrame:
     return t.select("n_name", dot(F.col("a"), F.col("b")).alias("overlap"), dot(ab, left(ab)).alias("back"), dot(F.col("a"), left(F.col("a"))).alias("shifted"))
 
 
-@query()
+_SD = (1024 / DIM * 8) ** 0.5  # from 8192 dimensions, where sds were measured
+_ROUTES = f"""{RECALL}, exact as (select page, subj, rel, count(distinct obj) as objects, min(obj) as obj from f group by all),
+x as (select t.page, t.subj, t.rel, e.objects, e.obj, e.objects is not null as hit, dot1 / {DIM}.0 as a, (dot1 - dot2) / {DIM}.0 as m_l1, sqrt(2 / (pi() * greatest(n, 1))) as mh, sqrt(2 * ln(25.0) / {DIM}) as mn from told t join sizes using (page) left join exact e using (page, subj, rel)),
+y as (select *, (a - (mh * {0.004 * _SD} + mn * {0.011 * _SD}) / {0.015 * _SD}) / {0.0075 * _SD} as z, case when objects > 1 then 0.0 else 1.0 end as m_l2 from x),
+o as (select *, 1 / (1 + exp(-z)) as known, 1 - 1 / (1 + exp(-((1.0 - 0.19) / 0.08))) as ref, case when hit then 1 - 1 / (1 + exp(-((m_l2 - 0.4528) / 0.0342))) end as sto from y),
+w as (select *, known * (1 - greatest(ref, coalesce(sto, ref))) as b, known * greatest(ref, coalesce(sto, ref)) as d, 1 - known as u, case when sto is null or ref >= sto then 'referential' else 'stored' end as tag from o),
+r as (select *, case when mh <= mn + {0.004 * _SD} then 'recollect' when u >= 0.85 then 'abstain' when u >= 0.35 then 'recollect' when d > b then 'deliberate' else 'answer' end as action from w)
+select page, subj, rel, hit, objects, round(a, 6) as a, round(m_l1, 6) as m_l1, round(b, 6) as b, round(d, 6) as d, round(u, 6) as u, action, case when action = 'deliberate' then tag end as tag,
+case when action in ('answer', 'recollect') and objects = 1 then obj end as answer from r"""
+
+
+@query(f"with {_ROUTES}")
 def memory_routes(spark: SparkSession, d: str) -> DataFrame:
     f = paged(spark, d)
-    return memory_query.query(f, asked_keys(spark, d), f.select(F.col("obj").alias("name")), DIM)
+    out = memory_query.query(f, asked_keys(spark, d), f.select(F.col("obj").alias("name")), DIM)
+    return out.select("page", "subj", "rel", "hit", "objects", *(r6(c).alias(c) for c in ("a", "m_l1", "b", "d", "u")), "action", "tag", "answer")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,8 +460,8 @@ def power_n(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).groupBy("lang").agg(metrics.power_n(F.stddev_samp(F.col("conf") - F.col("other")), F.lit(0.02)).cast("long").alias("n_needed"))
 
 
-_REPS = 20
-_BOOT = f"""{_SCORED}, i as (select *, row_number() over (order by doc_id) - 1 as k from scored), n as (select count(*) as n from scored),
+_REPS, _PERMS = 2000, 1000
+_BOOT = f"""{_SCORED}, i as (select *, row_number() over (order by md5(cast(doc_id as varchar))) - 1 as k from scored), n as (select count(*) as n from scored),
 c as (select rep, ('0x' || substr(md5(rep || ':' || k), 1, 7))::bigint % n as k from i, n, (select unnest(range(1, {_REPS + 1})) as rep)),
 s as (select rep, correct, 'conf' as source, conf as x from c join i using (k) union all select rep, correct, 'other', other from c join i using (k)),
 r as (select *, rank() over (partition by rep, source order by x) + (count(*) over (partition by rep, source, x) - 1) / 2.0 as k from s),
@@ -465,22 +483,28 @@ def bootstrap_difference(spark: SparkSession, d: str) -> DataFrame:
 
 def _perm(within: str) -> str:
     part = f"rep{', ' + within if within else ''}"
-    return f"""{_SCORED}, x as (select scored.*, rep from scored, (select unnest(range(1, {_REPS + 1})) as rep)),
-l as (select rep, lang, correct, row_number() over (partition by {part} order by doc_id) as k from x), m as (select rep, correct, conf, row_number() over (partition by {part} order by md5(rep || ':' || doc_id), doc_id) as k from x),
+    return f"""{_SCORED}, x as (select scored.*, rep from scored, (select unnest(range(1, {_PERMS + 1})) as rep)),
+l as (select rep, lang, correct, row_number() over (partition by {part} order by md5(cast(doc_id as varchar))) as k from x), m as (select rep, correct, conf, row_number() over (partition by {part} order by md5(rep || ':' || doc_id)) as k from x),
 p as (select l.rep, l.correct, m.conf from l join m on l.rep = m.rep and l.k = m.k {"and l.correct = m.correct" if within else ""}),
 r as (select *, rank() over (partition by rep order by conf) + (count(*) over (partition by rep, conf) - 1) / 2.0 as k from p),
 a as (select rep, (sum(k) filter (where correct) - count(*) filter (where correct) * (count(*) filter (where correct) + 1) / 2.0) / nullif(count(*) filter (where correct) * count(*) filter (where not correct), 0) as auroc from r group by rep)"""
 
 
-@query(f"with {_perm('')} select round(avg(auroc), 6) as mean, round(stddev_samp(auroc), 6) as sd, count(*) as replicates from a")
+@query(f"""with {_perm('')}, w as (select correct, rank() over (order by conf) + (count(*) over (partition by conf) - 1) / 2.0 as k from scored),
+obs as (select (sum(k) filter (where correct) - count(*) filter (where correct) * (count(*) filter (where correct) + 1) / 2.0) / nullif(count(*) filter (where correct) * count(*) filter (where not correct), 0) as o from w)
+select round(any_value(o), 6) as observed, round(avg(auroc), 6) as mean, round(stddev_samp(auroc), 6) as sd, count(*) as replicates, round(avg(case when auroc >= o - 1e-12 then 1.0 else 0.0 end), 6) as p from a, obs""")
 def permutation_null(spark: SparkSession, d: str) -> DataFrame:
-    a = metrics.auroc(metrics.permuted(scored(spark, d), "doc_id", "conf", "correct", _REPS), ["rep"], "conf", "correct")
-    return a.agg(r6(F.avg("auroc")).alias("mean"), r6(F.stddev_samp("auroc")).alias("sd"), F.count(F.lit(1)).alias("replicates"))
+    """The observed AUROC against confidences dealt anew: mean and sd of the null, and the share of it that is as high."""
+    x = scored(spark, d)
+    a = metrics.auroc(metrics.permuted(x, "doc_id", "conf", "correct", _PERMS), ["rep"], "conf", "correct")
+    seen = metrics.auroc(x, [], "conf", "correct").withColumnRenamed("auroc", "observed")
+    high = (F.col("auroc") >= F.col("observed") - 1e-12).cast("double")
+    return a.join(F.broadcast(seen)).agg(r6(F.first("observed")).alias("observed"), r6(F.avg("auroc")).alias("mean"), r6(F.stddev_samp("auroc")).alias("sd"), F.count(F.lit(1)).alias("replicates"), r6(F.avg(high)).alias("p"))
 
 
 @query(f"with {_perm('correct')} select rep, round(auroc, 6) as auroc from a")
 def stratified_null_invariance(spark: SparkSession, d: str) -> DataFrame:
-    a = metrics.auroc(metrics.permuted(scored(spark, d), "doc_id", "conf", "correct", _REPS, ["correct"]), ["rep"], "conf", "correct")
+    a = metrics.auroc(metrics.permuted(scored(spark, d), "doc_id", "conf", "correct", _PERMS, ["correct"]), ["rep"], "conf", "correct")
     return a.select(F.col("rep").cast("long").alias("rep"), r6("auroc").alias("auroc"))
 
 
@@ -505,11 +529,11 @@ def render_templates(spark: SparkSession, d: str) -> DataFrame:
     return triples(spark, d).distinct().withColumn("body", text.render(F.col("subj"), F.col("rel"), F.col("obj")))
 
 
-@query("select c_name as subj, 'in nation' as rel, n_name as obj from customer join nation on c_nationkey = n_nationkey where c_custkey % 3 <> 0")
+@query("select c_name || ' (client)' as subj, 'in nation' as rel, n_name as obj from customer join nation on c_nationkey = n_nationkey where c_custkey % 3 <> 0")
 def triple_parse(spark: SparkSession, d: str) -> DataFrame:
     """Triples written out as lines, some hedged, some broken, and read back."""
     f = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    line = F.concat(F.lit("("), "c_name", F.lit(" |  IN Nation | "), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("maybe "), "n_name")).otherwise(F.col("n_name")), F.lit(")\nno triple | here\n"))
+    line = F.concat(F.lit("("), "c_name", F.lit(" (client) |  IN Nation | "), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("maybe "), "n_name")).otherwise(F.col("n_name")), F.lit(")\nno triple | here\n"))
     return text.parse_triples(f.select(F.concat(line, line).alias("text")), "text")
 
 
@@ -557,17 +581,25 @@ def surface_leak_hits(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("bodies"), F.min("item_id").alias("first_item"))
 
 
-@query(f"""with {TRIPLES}, f as (select distinct subj, rel, obj, lower(subj || ' ' || rel || ' ' || obj) as blob from triples), w as (select distinct lower(r_name) as w from region where length(r_name) >= 4)
-select subj, rel, obj from f where exists (select 1 from w where contains(blob, w))""")
+_SAID = "said as (select n_nationkey as id, n_name || ' trades with ' || r_name as output from nation join region on n_regionkey = r_regionkey)"
+
+
+@query(f"""with {TRIPLES}, f as (select distinct subj, rel, obj, lower(subj || ' ' || rel || ' ' || obj) as blob from triples where rel in ('in region', 'in nation')), {_SAID},
+w as (select distinct id, unnest(regexp_extract_all(lower(output), '[a-z0-9]{{4,}}')) as w from said),
+m as (select distinct w.w, subj, rel, obj from (select distinct w from w) w join f on contains(blob, w.w)),
+h as (select distinct id, subj, rel, obj from w join m using (w)), k as (select *, row_number() over (partition by id order by subj, rel, obj) as place, count(*) over (partition by id) as n from h)
+select id, subj, rel, obj from k where place <= 150 union all select distinct id, '__TRUNCATED__', 'dropped', (n - 150) || ' more relevant facts' from k where n > 150""")
 def relevant_facts(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "region").where(F.length("r_name") >= 4).agg(F.collect_set(F.lower("r_name")).alias("words"))
-    f = triples(spark, d).distinct().withColumn("blob", F.lower(F.concat_ws(" ", "subj", "rel", "obj")))
-    return f.join(F.broadcast(words)).where(F.exists("words", lambda w: F.contains(F.col("blob"), w))).select("subj", "rel", "obj")
+    """For each nation's sentence, the facts on nations and regions that share a token with it."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    said = n.select(F.col("n_nationkey").alias("id"), F.concat("n_name", F.lit(" trades with "), "r_name").alias("output"), F.array().cast("array<string>").alias("bodies"))
+    return leaks.relevant(said, triples(spark, d).where(F.col("rel").isin("in region", "in nation")))
 
 
-@query("select s_suppkey, lower(s_name) as slot_, 'Ann Lee (' || 'doctor' || ')' as bound from supplier")
+@query("select s_suppkey, lower(s_name) as slot_, case s_suppkey % 3 when 0 then 'Ann Lee (doctor)' when 1 then 'my neighbour' end as bound from supplier")
 def qualifier_binding(spark: SparkSession, d: str) -> DataFrame:
-    said = F.concat(F.lit("I met my doctor Ann Lee near "), "s_name")
+    k = F.col("s_suppkey") % 3
+    said = F.when(k == 0, F.concat(F.lit("I met my doctor Ann Lee near "), "s_name")).when(k == 1, F.lit("so my neighbour said")).otherwise(F.col("s_name"))
     return table(spark, d, "supplier").select("s_suppkey", text.slot(F.concat(F.lit("The "), "s_name", F.lit(" "))).alias("slot_"), text.qualified(said).alias("bound"))
 
 
@@ -595,6 +627,7 @@ def strict_vs_either(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with x as (select l_orderkey, l_linenumber, {_Z} from lineitem) select l_orderkey, l_linenumber, round(1 / (1 + exp(-(1.7755 + 2.6321 * (m_ref - 0.5) / 0.3 + 0.825 * (m_l2 - 0.4) / 0.2))), 6) as p from x")
 def foil_predict(spark: SparkSession, d: str) -> DataFrame:
+    # Weights, means and scales of a fitted head (fixed values).
     p = models.linear_readout([F.col("m_ref"), F.col("m_l2"), F.col("z")], [2.6321, 0.825, 0.0], [0.5, 0.4, 0.0], [0.3, 0.2, 0.0], 1.7755)
     return signals(spark, d).select("l_orderkey", "l_linenumber", r6(p).alias("p"))
 
@@ -607,11 +640,11 @@ def logistic_crossfit(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def meta_d(spark: SparkSession, d: str) -> DataFrame:
-    t = metrics.rating_table(scored(spark, d), [], "conf", "correct").collect()
-    table_ = np.zeros((2, 4))
-    for r in t:
-        table_[int(r.correct), r.rating] = r.n
-    return spark.createDataFrame([models.meta_d(table_)], "d double, meta_d double, m_ratio double")
+    """meta-d' per language: at most 8 counts a language come to the driver."""
+    tables: dict[str, np.ndarray] = {}
+    for r in metrics.rating_table(scored(spark, d), ["lang"], "conf", "correct").collect():
+        tables.setdefault(r.lang, np.zeros((2, 4)))[int(r.correct), r.rating] = r.n
+    return spark.createDataFrame([{"lang": k} | models.meta_d(v) for k, v in tables.items()], "lang string, eligible boolean, reason string, accuracy double, d double, meta_d double, m_ratio double")
 
 
 @query()
@@ -624,13 +657,13 @@ def zca_whiten(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {LOG} select subj, rel, obj, cast(sum(case when op = 'write' then 1 else -1 end) as bigint) as weight from log group by all")
 def stream_accumulator(spark: SparkSession, d: str) -> DataFrame:
     source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
-    return live.drain(live.signed_sums(ops_of(source), ["subj", "rel", "obj"]))
+    return live.drain(live.signed_sums(ops_of(source), ["subj", "rel", "obj"]), scratch(spark))
 
 
 @query(f"with {LOG} select subj, rel, obj, arg_max(op, seq) as op, max(seq) as seq from log group by subj, rel, obj")
 def stream_fact_state(spark: SparkSession, d: str) -> DataFrame:
     source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
-    return live.drain(live.last_state(ops_of(source)))
+    return live.drain(live.last_state(ops_of(source)), scratch(spark), ["subj", "rel", "obj"])
 
 
 def ops_of(events: DataFrame) -> DataFrame:
@@ -639,8 +672,10 @@ def ops_of(events: DataFrame) -> DataFrame:
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by all")
 def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
-    w = live.windowed(table(spark, d, "events"), "ts", "event_type")
-    return w.select(F.col("window.start").alias("start"), "event_type", "n")
+    """Hourly counts from a stream in update mode."""
+    source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    w = live.windowed(source.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return live.drain(w, scratch(spark), ["start", "event_type"])
 
 
 @query(f"""with x as (select c_custkey // {PAGE} as page, n_name from customer join nation on c_nationkey = n_nationkey), s as (select page, count(*) as k, count(distinct n_name) as names from x group by page)

@@ -99,3 +99,29 @@ def norm_cdf_poly(x: Column) -> Column:
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     tail = F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly
     return F.when(x >= 0, 1 - tail).otherwise(tail)
+
+
+def norm_quantile(p: Column) -> Column:
+    """The inverse normal distribution: Abramowitz and Stegun 26.2.23, then two Newton steps on norm_cdf_poly."""
+    q = F.least(p, 1 - p)
+    t = F.sqrt(-2 * F.log(q))
+    x = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
+    start = F.when(p < 0.5, -x).otherwise(x)
+    # A fold binds each step's value to a name, so that the expression does not grow with the steps.
+    return F.aggregate(F.array(F.lit(1), F.lit(2)), start, lambda y, _: y - (norm_cdf_poly(y) - p) * math.sqrt(2 * math.pi) * F.exp(y * y / 2))
+
+
+def l2_opinion_parts(u: Column, m_l2: Column) -> Column:
+    """(b, d) split by the stored margin alone."""
+    s = sigmoid((m_l2 - C_L2) / S_L2)
+    return F.struct(((1 - u) * s).alias("b"), ((1 - u) * (1 - s)).alias("d"))
+
+
+def null_moments(mu: Column, sd: Column, measured_mu: Column, measured_sd: Column) -> Column:
+    """Measured moments where there are any (the number of names then plays no part), else the analytic ones."""
+    return F.struct(F.coalesce(measured_mu, mu).alias("mu"), F.coalesce(measured_sd, sd).alias("sd"))
+
+
+def hit_moments(k: Column, scale: Column, sd: Column) -> Column:
+    """The analytic mean scaled to fit, and an sd interpolated at the load."""
+    return F.struct((scale * mu_hit(k)).alias("mu"), sd.alias("sd"))

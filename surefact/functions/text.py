@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Patterns (fixed values of this engine).
@@ -12,6 +15,10 @@ QUESTION = r"(?i)^\s*(who|what|where|when|which|how|is|are|does|do|did)([^a-z]|$
 CORRECTION = r"(?i)^\s*(actually|correction|no,|wait)([^a-z]|$)"
 BANNED = r"(?i)(^|[^a-z])(because|remember|stored|recorded|fact|memory|since)([^a-z]|$)"
 LEADIN_WORDS = 8
+#: A line "(s | r | o)"; fields may hold parentheses, as in "Tom (brother)".
+TRIPLE_LINE = r"^\s*\(\s*([^|]*[^|\s])\s*\|\s*([^|]*[^|\s])\s*\|\s*([^|]*[^|\s])\s*\)\s*$"
+#: Words that give away a fact in a remainder (fixed values).
+KEYWORDS = r"(?i)\d|works?|lives?|born|manag|report|marri|sibling|stud(y|ied)|employ|schedul|resid|mov(e|ed|ing)|job|trip|visit|school|office|city|wedding|party|vacation|holiday|meeting|dinner|birthday"
 #: Sentence templates by relation (fixed values of this engine).
 TEMPLATES = (
     ("in nation", "{s} is from {o}."),
@@ -43,7 +50,7 @@ def hedged(*fields: Column) -> Column:
 
 def parse_triples(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """(keep, subj, rel, obj) of each well-formed line "(s | r | o)"; relations in lower case, hedged ones dropped, one of equals."""
-    pattern = r"^\s*\(\s*([^|()]+?)\s*\|\s*([^|()]+?)\s*\|\s*([^|()]+?)\s*\)\s*$"
+    pattern = TRIPLE_LINE
     lines = df.select(*keep, F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").rlike(pattern))
     part = lambda k: F.regexp_extract("line", pattern, k)
     out = lines.select(*keep, part(1).alias("subj"), F.lower(part(2)).alias("rel"), part(3).alias("obj"))
@@ -114,3 +121,46 @@ def remainder(text: Column, bodies: Column) -> Column:
 
 def slot(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(text)), r"^(the|a|an) ", "")
+
+
+def bullets(facts: Column) -> Column:
+    """An array of (subj, rel, obj) as lines "- (s | r | o)", in order of the array."""
+    return F.array_join(F.transform(facts, lambda x: F.concat(F.lit("- ("), x.subj, F.lit(" | "), x.rel, F.lit(" | "), x.obj, F.lit(")"))), "\n")
+
+
+def variant(name: Column, style: Column) -> Column:
+    """A near-duplicate of a name: possessive, without its middle character, or with a suffix, by style modulo 3."""
+    half = F.floor(F.length(name) / 2).cast("int")
+    short = F.concat(F.substring(name, F.lit(1), half), F.substring(name, half + 2, F.length(name)))
+    return F.when(style % 3 == 0, F.concat(name, F.lit("'s"))).when(style % 3 == 1, short).otherwise(F.concat(name, F.lit(" Jr")))
+
+
+def clause(action: Column, subj: Column, rel: Column, obj: Column) -> Column:
+    """What a reply has settled, as one sentence by its action."""
+    fact = F.concat(subj, F.lit(" "), rel, F.lit(" "), obj)
+    return (
+        F.when(action == "answer", F.concat(F.lit("On file: "), fact, F.lit(".")))
+        .when(action == "deliberate", F.concat(F.lit("More than one entry fits "), subj, F.lit(" "), rel, F.lit(".")))
+        .otherwise(F.concat(F.lit("Nothing settled for "), subj, F.lit(" "), rel, F.lit(".")))
+    )
+
+
+def entity_class(name: Column, endings: tuple[str, ...]) -> Column:
+    """org by its last word, else city for one word or a qualified place, else qualified or person."""
+    org = F.element_at(F.split(name, " "), -1).isin(*endings)
+    return F.when(org, "org").when(name.rlike(r"^[^ ]+ \([A-Z]+\)$") | ~name.contains(" "), "city").when(name.contains("("), "qualified").otherwise("person")
+
+
+class TripleLines:
+    """parse_triples as a table function: one row for each well-formed line that is not hedged."""
+
+    def eval(self, text: str) -> Iterator[tuple[str, str, str]]:
+        for line in (text or "").split("\n"):
+            m = re.match(TRIPLE_LINE, line)
+            if m and not any(re.search(HEDGE, x) for x in m.groups()):
+                yield m[1], m[2].lower(), m[3]
+
+
+def register_udtf(spark: SparkSession, name: str = "triple_lines") -> None:
+    """triple_lines(text) for SQL users."""
+    spark.udtf.register(name, F.udtf(TripleLines, returnType="subj string, rel string, obj string"))

@@ -84,3 +84,9 @@ def superpose(df: DataFrame, keys: list[str], v: str, weight: str | None = None)
     long = df.select(*keys, w.alias("w"), F.posexplode(v).alias("pos", "x"))
     sums = long.groupBy(*keys, "pos").agg(F.sum(F.col("w") * F.col("x")).alias("s"))
     return sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda z: z.s).alias("bundle"))
+
+
+def validated(rows: DataFrame) -> DataFrame:
+    """(n, distinct_names, wrong) of rows (name, v) that a caller brings: v has to hold -1 and 1 only, all of one length."""
+    fine = F.forall("v", lambda x: (x == 1) | (x == -1))
+    return rows.agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) == F.count_distinct("name")).alias("distinct_names"), (F.count_if(~F.coalesce(fine, F.lit(False))) + F.when(F.min(F.size("v")) != F.max(F.size("v")), 1).otherwise(0)).cast("int").alias("wrong"))

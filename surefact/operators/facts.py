@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,8 +16,18 @@ def state(log: DataFrame) -> DataFrame:
 
 
 def supersede(log: DataFrame) -> DataFrame:
-    """The latest write of each key replaces all older objects: (subj, rel, obj, provenance, seq)."""
-    return log.where("op = 'write'").groupBy("subj", "rel").agg(F.max_by(F.struct("obj", "provenance", "seq"), "seq").alias("x")).select("subj", "rel", "x.*")
+    """The latest write of each key replaces all older objects: (subj, rel, obj, provenance, seq). A key whose latest write was
+    forgotten later has none."""
+    wrote = F.when(F.col("op") == "write", F.col("seq"))
+    each = log.groupBy("subj", "rel", "obj").agg(F.max(wrote).alias("seq"), F.max_by("provenance", wrote).alias("provenance"), F.max_by("op", "seq").alias("op"))
+    last = each.where("seq is not null").groupBy("subj", "rel").agg(F.max_by(F.struct("obj", "provenance", "seq", "op"), "seq").alias("x"))
+    return last.where(F.col("x.op") == "write").select("subj", "rel", "x.obj", "x.provenance", "x.seq")
+
+
+def active_count(log: DataFrame, *keys: str) -> DataFrame:
+    """(keys, triples, active): how many triples were ever touched and how many are written now."""
+    last = log.groupBy("subj", "rel", "obj").agg(F.max_by("op", "seq").alias("op"))
+    return last.groupBy(*keys).agg(F.count(F.lit(1)).alias("triples"), F.count_if(F.col("op") == "write").alias("active"))
 
 
 def valid_writes(log: DataFrame) -> DataFrame:
@@ -46,7 +56,7 @@ def unwritten(keys: DataFrame, facts: DataFrame, synonyms: DataFrame | None = No
 
 def collisions(facts: DataFrame) -> DataFrame:
     """Keys with more than one distinct object, and how many."""
-    return facts.groupBy("subj", "rel").agg(F.count_distinct("obj").alias("objects")).where("objects > 1")
+    return facts.select("subj", "rel", "obj").distinct().groupBy("subj", "rel").agg(F.count("obj").alias("objects")).where("objects > 1")
 
 
 def candidates(keys: DataFrame, facts: DataFrame, limit: int = 2) -> DataFrame:
@@ -65,3 +75,9 @@ def both_ways(facts: DataFrame, synonyms: DataFrame) -> DataFrame:
     a, b = facts.alias("a"), facts.alias("b")
     pairs = a.join(synonyms.alias("s"), F.col("a.rel") == F.col("s.rel")).join(b, (F.col("a.subj") == F.col("b.subj")) & (F.col("b.rel") == F.col("s.other")))
     return pairs.groupBy(F.col("a.subj").alias("subj"), F.col("a.rel").alias("rel"), F.col("s.other").alias("other")).agg((F.count_if(F.col("a.obj") != F.col("b.obj")) > 0).alias("differs"))
+
+
+def views(spark: SparkSession, **frames: DataFrame) -> None:
+    """Frames as temporary views by their names, for SQL: facts, registry, items, opinions or others."""
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)

@@ -58,11 +58,33 @@ def draw(seed: Column, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", seed.cast("string"), *(p.cast("string") for p in parts))), 1, 7), 16, 10).cast("long")
 
 
+def hash_rank(df: DataFrame, order: Column, name: str, keys: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """Adds `name`: the row's rank, from 0, by a hexadecimal digest `order` (distinct within the keys), without one task for all rows.
+
+    Rows are ranked within buckets of the digest's first digits; a table of `buckets` counts for each key holds where each begins."""
+    keys = keys or []
+    if buckets not in (16, 64, 256, 4096):
+        raise ValueError("buckets: 16, 64, 256 or 4096")
+    digits = 1 if buckets == 16 else 2 if buckets <= 256 else 3
+    own = (F.conv(F.substring(order, 1, digits), 16, 10).cast("int") / (4 if buckets == 64 else 1)).cast("int")
+    rows = df.withColumn("_digest", order).withColumn("_bucket", own)
+    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inner = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_digest")) - 1
+    return rows.withColumn(name, inner).join(starts, [*keys, "_bucket"]).withColumn(name, F.col(name) + F.col("_start")).drop("_digest", "_bucket", "_start")
+
+
+def digest(*parts: Column | str | int) -> Column:
+    """md5 of the parts joined by colons."""
+    return F.md5(F.concat_ws(":", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts)))
+
+
 def bootstrap(df: DataFrame, item: str, sources: list[str], correct: str, replicates: int) -> DataFrame:
     """(rep, source, auroc) over resampled items, shared by all sources of a replicate.
 
-    Each of n draws of a replicate picks the item at a hashed rank."""
-    ranked = df.withColumn("rank", F.row_number().over(Window.orderBy(item)) - 1)
+    Each of n draws of a replicate picks the item at a hashed rank; items are ranked by the digest of their id."""
+    ranked = hash_rank(df.select(item, correct, *sources), digest(F.col(item)), "rank")
     size = df.agg(F.count(F.lit(1)).alias("size"))
     # One row of size: a bound of one row.
     picks = ranked.select("rank").join(F.broadcast(size)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
@@ -78,14 +100,51 @@ def bootstrap(df: DataFrame, item: str, sources: list[str], correct: str, replic
 def permuted(df: DataFrame, item: str, conf: str, correct: str, replicates: int, within: list[str] | None = None) -> DataFrame:
     """(rep, conf, correct): confidences dealt anew over items (of one stratum, if given) in each replicate."""
     within = within or []
-    reps = df.select(item, conf, correct, *(c for c in within if c not in (item, conf, correct))).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    there = Window.partitionBy("rep", *within).orderBy(item)
-    dealt = Window.partitionBy("rep", *within).orderBy(F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col(item).cast("string"))), item)
-    left = reps.select("rep", *within, *(c for c in (correct,) if c not in within), F.row_number().over(there).alias("place"))
-    right = reps.select("rep", *within, conf, F.row_number().over(dealt).alias("place"))
+    own = df.select(item, conf, correct, *(c for c in within if c not in (item, conf, correct)))
+    reps = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")
+    left = hash_rank(own, digest(F.col(item)), "place", within).select(reps, *within, *(c for c in (correct,) if c not in within), "place")
+    right = hash_rank(own.select("*", reps), digest(F.col("rep"), F.col(item)), "place", ["rep", *within]).select("rep", *within, conf, "place")
     return left.join(right, ["rep", *within, "place"])
 
 
+def pseudo_2afc(df: DataFrame, keys: list[str], item: str, conf: str, correct: str, seed: int = 1) -> DataFrame:
+    """(keys, n, acc): as many pairs of a correct and an incorrect item as the larger class has, each drawn by hash; the
+    share in which the correct one has the higher confidence, ties by a hashed coin. It estimates AUROC."""
+    ranked = hash_rank(df.select(*keys, item, conf, correct), digest(F.col(item)), "place", [*keys, correct])
+    sizes = df.groupBy(*keys).agg(F.count_if(correct).alias("n_pos"), F.count_if(~F.col(correct)).alias("n_neg")).where("n_pos > 0 and n_neg > 0")
+    pairs = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest("n_pos", "n_neg").cast("int") - 1)))
+    at = lambda name, n: draw(F.lit(f"{name}{seed}"), F.col("i")) % F.col(n)
+    pairs = pairs.select(*keys, "i", at("p", "n_pos").alias("pos"), at("n", "n_neg").alias("neg"))
+    side = lambda flag, place, out: ranked.where(F.col(correct) == flag).select(*keys, F.col("place").alias(place), F.col(conf).alias(out))
+    both = pairs.join(side(True, "pos", "a"), [*keys, "pos"]).join(side(False, "neg", "b"), [*keys, "neg"])
+    won = F.when(F.col("a") > F.col("b"), 1).when(F.col("a") < F.col("b"), 0).otherwise(draw(F.lit(f"t{seed}"), F.col("i")) % 2)
+    return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(won).alias("acc"))
+
+
+def histogram(df: DataFrame, value: str) -> DataFrame:
+    """(value, n, share, mode): counts of the distinct values; the mode is the most frequent, the smallest of equals."""
+    n = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    whole = n.agg(F.sum("n").alias("total"), F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias("top"))
+    return n.join(F.broadcast(whole)).select(value, "n", (F.col("n") / F.col("total")).alias("share"), (F.col(value) == F.col("top")).alias("mode"))
+
+
+def margin_gap(df: DataFrame, keys: list[str], margin: str, ambiguous: Column, clean: Column) -> DataFrame:
+    """(keys, highest, lowest, gap): the highest margin among the ambiguous, the lowest among the clean, and what lies between."""
+    out = df.groupBy(*keys).agg(F.max(F.when(ambiguous, F.col(margin))).alias("highest"), F.min(F.when(clean, F.col(margin))).alias("lowest"))
+    return out.withColumn("gap", F.col("lowest") - F.col("highest"))
+
+
+def feature_shift(df: DataFrame, split: str, features: list[str]) -> DataFrame:
+    """(feature, split, mean, sd) of each feature in each split."""
+    long = df.select(split, F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features))).alias("v")).select(split, "v.*")
+    return long.groupBy("feature", split).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+
+
+def prefix(df: DataFrame, keys: list[str], order: list[Column], n: int = 120) -> DataFrame:
+    """The first n rows of each key in a stable order, with `place` from 1."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)
+
+
 def cohens_d(df: DataFrame, keys: list[str], x: str, flag: str) -> DataFrame:
     a, b = F.when(F.col(flag), F.col(x)), F.when(~F.col(flag), F.col(x))
     pooled = F.sqrt(0.5 * (F.var_samp(a) + F.var_samp(b)))

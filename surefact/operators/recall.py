@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import gate
 from ..functions.vec import DIM, atoms
 
 
@@ -57,3 +58,31 @@ def echo_check(facts: DataFrame, codebook: DataFrame, dim: int = DIM) -> DataFra
     told = own.select(F.struct(*key).alias("key"), "own").join(back, "key")
     fine = F.array_contains("own", F.col("top1")) & (F.col("dot1") > 0)
     return told.select("key.*", F.explode("own").alias("obj"), fine.alias("accepted"))
+
+
+def bundles(facts: DataFrame, dim: int = DIM) -> DataFrame:
+    """(page, bundle array<long>): the sums of the records (page, subj, rel, obj) of each page."""
+
+    def run(t: pa.Table) -> pa.Table:
+        total = records(*(atoms(t.column(c).to_pylist(), dim) for c in ("subj", "rel", "obj"))).sum(axis=0, dtype=np.int64)
+        return pa.table({"page": t.column("page").slice(0, 1), "bundle": pa.array([total], pa.list_(pa.int64()))})
+
+    return facts.select("page", "subj", "rel", "obj").groupBy("page").applyInArrow(run, "page long, bundle array<long>")
+
+
+#: Deviations of hits and nulls at 8192 dimensions (fixed values).
+SD_HIT, SD_NULL, SD_DIM = 0.011, 0.004, 8192
+
+
+def write_checked(facts: DataFrame, codebook: DataFrame, dim: int = DIM) -> DataFrame:
+    """Distinct facts with `accepted`: read back through the gate, above the crossing of hits and nulls, as their object or as another
+    object of the same key. What is not accepted is not written: bundles of the accepted facts are what stays."""
+    names = codebook.select("name").distinct().count()
+    key = ["page", "subj", "rel"]
+    own = facts.groupBy(*key).agg(F.collect_set("obj").alias("own"))
+    back = recall(facts, own.select(*key), codebook, dim).select(F.struct(*key).alias("key"), "top1", "dot1", "n")
+    told = own.select(F.struct(*key).alias("key"), "own").join(back, "key")
+    scale = (SD_DIM / dim) ** 0.5
+    level = gate.crossing(gate.mu_hit(F.col("n")), F.lit(SD_HIT * scale), gate.mu_null(F.lit(float(max(names, 2))), F.lit(float(dim))), F.lit(SD_NULL * scale))
+    fine = F.array_contains("own", F.col("top1")) & (F.col("dot1") / float(dim) > level)
+    return told.select("key.*", F.explode("own").alias("obj"), fine.alias("accepted"))

@@ -42,8 +42,56 @@ def cached(keys: DataFrame, cache: DataFrame, embed) -> DataFrame:  # type: igno
     return cache.unionByName(embed(missing))
 
 
+def write_document(df: DataFrame, path: str) -> None:
+    """A frame of one row as one JSON document."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_matrix(spark: SparkSession, rows, path: str) -> None:  # type: ignore[no-untyped-def]
+    """A small matrix of numbers as (row, e) in Parquet."""
+    spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(rows)], "row long, e array<double>").write.mode("overwrite").parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str):  # type: ignore[no-untyped-def]
+    """Its rows as a numpy array; what the driver reads is what write_matrix was given."""
+    import numpy as np
+
+    return np.array([r.e for r in spark.read.parquet(path).orderBy("row").collect()])
+
+
+def cache_through(spark: SparkSession, path: str, names: DataFrame, embed) -> DataFrame:  # type: ignore[no-untyped-def]
+    """The embeddings (name, e) of `names` by a cache at `path`: what it lacks is embedded and appended, once for each name."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    missing = names.select("name").distinct()
+    if there:
+        missing = missing.join(spark.read.parquet(path).select("name"), "name", "left_anti")
+    embed(missing).select("name", "e").write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(names.select("name").distinct(), "name", "left_semi")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir, or a temporary one in local mode."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not root:
+        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = kept.get() if kept.isDefined() else ""
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.gettempdir()
+    return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(limit).collect()
+    """A small result as a Markdown table; what is left out is counted in a last line."""
+    rows = df.limit(limit + 1).collect()
     line = lambda xs: "| " + " | ".join("" if x is None else str(x) for x in xs) + " |"
-    return "\n".join([line(df.columns), line("---" for _ in df.columns), *(line(r) for r in rows)])
+    out = [line(df.columns), line("---" for _ in df.columns), *(line(r) for r in rows[:limit])]
+    if len(rows) > limit:
+        out.append(f"{df.count() - limit} more rows")
+    return "\n".join(out)

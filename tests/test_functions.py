@@ -63,17 +63,3 @@ def test_auroc_with_ties_equals_brute_force(spark):
     want = ((p[:, None] > n[None, :]) + 0.5 * (p[:, None] == n[None, :])).mean()
     assert abs(metrics.auroc(df, ["g"], "conf", "correct").first().auroc - want) < 1e-12
     assert metrics.auroc(df.where("correct"), ["g"], "conf", "correct").first().auroc is None
-
-
-def test_logistic_and_meta_d_recover():
-    rng = np.random.default_rng(5)
-    x = np.hstack([rng.normal(size=(600, 2)), np.ones((600, 1))])
-    y = (rng.random(600) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
-    w, mu, sd = models.fit_logistic(x, y)
-    assert sd[2] == 0 and w[2] == 0 and w[0] > 1 > abs(w[1])
-    s = rng.integers(0, 2, 40_000)
-    e = rng.normal(size=40_000) + (s - 0.5) * 1.5
-    table = np.zeros((2, 8))
-    np.add.at(table, (s, np.searchsorted([-1.5, -1, -0.5, 0, 0.5, 1, 1.5], e)), 1)
-    m = models.meta_d(table)
-    assert abs(m["d"] - 1.5) < 0.06 and abs(m["m_ratio"] - 1) < 0.12
