@@ -47,22 +47,22 @@ NOTICES = (
 
 
 class SuffixAutomaton:
-    """Of several sequences of numbers; each state knows where its longest run first ends in each sequence."""
+    """Of several sequences of numbers; each state knows all places where its longest run ends in each sequence."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.size = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, list[int]]] = [{}]
         for which, seq in enumerate(sequences):
             last = 0
             for place, x in enumerate(seq):
                 last = self.extend(last, x)
-                self.ends[last].setdefault(which, place)
+                self.ends[last].setdefault(which, []).append(place)
         # What ends at a state also ends at those that its link names.
         for v in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
             up = self.ends[self.link[v]]
-            for which, place in self.ends[v].items():
-                up[which] = min(place, up.get(which, place))
+            for which, places in self.ends[v].items():
+                up[which] = sorted({*places, *up.get(which, ())})
 
     def new(self, size: int, link: int, edges: dict[int, int]) -> int:
         self.next.append(edges)
@@ -100,6 +100,7 @@ class Scanner:
         own = [words_of(t) for t, _ in phrases] + [words_of(t) for _, t in notices]
         self.labels = [x for _, x in phrases] + [x for x, _ in notices]
         self.n_phrases, self.sizes = len(phrases), [len(x) for x in own]
+        self.least, self.longest = min([min_match, *self.sizes[: self.n_phrases]]), max(self.sizes)
         names = sorted({w for x in own for w in x})
         number = {w: k for k, w in enumerate(names)}
         self.known = Table(len(names))
@@ -138,26 +139,39 @@ class Scanner:
             matches.append((start + len(ids) - n, n, v))
 
     def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """(template, first word, end, share covered) of the best chains."""
+        """(template, first word, end, share covered) of the best chains that do not overlap within a template.
+
+        A match counts at each place that it has in a template. One follows another within max_gap words of the text and of the
+        template, in order in both; where they overlap, the later one loses its beginning. Matches that fit badly are passed over."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for start, n, v in matches:
-            for t, end in self.auto.ends[v].items():
+            for t, ends in self.auto.ends[v].items():
                 if t >= self.n_phrases:
-                    by.setdefault(t, []).append((start, n, end + 1 - n))
+                    by.setdefault(t, []).extend((start, n, end + 1 - n) for end in ends)
         out = []
         for t, own in by.items():
-            first = stop = place = covered = 0
-            for start, n, at in own:
-                near = covered and start - stop <= self.max_gap and place <= at <= place + self.max_gap
-                if not near:
-                    if covered >= self.min_cover * self.sizes[t]:
-                        out.append((t, first, stop, covered / self.sizes[t]))
-                    first, covered = start, 0
-                covered += n
-                stop, place = start + n, at + n
-            if covered >= self.min_cover * self.sizes[t]:
-                out.append((t, first, stop, covered / self.sizes[t]))
-        return out
+            own.sort()
+            best: list[tuple[int, int]] = []  # words covered by the best chain up to here, where it begins
+            for j, (start, n, place) in enumerate(own):
+                covered, first = n, start
+                for i in range(j - 1, -1, -1):
+                    before, m, at = own[i]
+                    if before + self.longest + self.max_gap < start:
+                        break  # so do all earlier ones
+                    cut = max(0, before + m - start, at + m - place)
+                    if cut < n and start + cut - before - m <= self.max_gap and place + cut - at - m <= self.max_gap and best[i][0] + n - cut > covered:
+                        covered, first = best[i][0] + n - cut, best[i][1]
+                best.append((covered, first))
+            taken: list[tuple[int, int]] = []
+            for j in sorted(range(len(own)), key=lambda j: (-best[j][0], own[j])):
+                covered, first = best[j]
+                end = own[j][0] + own[j][1]
+                if covered < self.min_cover * self.sizes[t]:
+                    break
+                if all(end <= a or first >= b for a, b in taken):
+                    taken.append((first, end))
+                    out.append((t, first, end, covered / self.sizes[t]))
+        return sorted(out)
 
     def scan(self, raw: list[bytes]) -> list[tuple[int, list[tuple[int, int]], list[tuple[int, int, int, float]]]]:
         """Of each text: number of words, phrases as (phrase, start), covered template spans."""
@@ -169,7 +183,7 @@ class Scanner:
             return out
         cuts = np.nonzero((np.diff(hit) != 1) | (np.diff(c.word_doc[hit]) != 0))[0] + 1
         begin, end = np.append(0, cuts), np.append(cuts, len(hit))
-        long = end - begin > 1  # one word alone is neither a phrase nor a match
+        long = end - begin >= self.least  # shorter runs are neither a phrase nor a match
         matches: dict[int, list[tuple[int, int, int]]] = {}
         docs, firsts, ids_hit = c.word_doc[hit], hit - c.first[c.word_doc[hit]], ids[hit].tolist()
         for b, e in zip(begin[long].tolist(), end[long].tolist(), strict=True):

@@ -303,8 +303,8 @@ def text_hubs(df: DataFrame, loose: DataFrame, words: int, similarity: float, ti
     own = F.array(F.pmod(F.xxhash64("node", F.lit(11)), F.col("m")).cast("int"))
     parts = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(own)
     rows = cut(loose.join(sizes, "root").select("node", "root", F.explode(parts).alias("part"), (F.col("node") != F.col("root")).alias("late")))
-    # One text for each node: repeated ids come as one of their rows.
-    rows = df.select(F.col("doc_id").alias("node"), "text").join(counted(rows), "node").dropDuplicates(["node", "part"]).withColumn("key", F.xxhash64("root", "part"))
+    # One text for each node: repeated ids come with the least of their texts.
+    rows = df.select(F.col("doc_id").alias("node"), "text").join(counted(rows), "node").groupBy("node", "root", "part", "late").agg(F.min("text").alias("text")).withColumn("key", F.xxhash64("root", "part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = np.zeros(0, dtype=np.uint64)
@@ -339,7 +339,7 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, tile
     # The exact pass reads the whole texts of clustered nodes only, each cluster as groups of bounded size.
     starred = text_hubs(df, loose, words, similarity, tile)
     of_loose = loose.join(starred.select("node", "done"), "node", "left").select("node", F.col("root").alias("bucket"), F.coalesce("done", F.lit(False)).alias("done"))
-    chosen = df.select(F.col("doc_id").alias("node"), "text").join(of_loose, "node").dropDuplicates(["node"])
+    chosen = df.select(F.col("doc_id").alias("node"), "text").join(of_loose, "node").groupBy("node", "bucket", "done").agg(F.min("text").alias("text"))
 
     def decide(t: pa.Table) -> pa.Table | None:
         node, side = t.column("node").to_numpy(), t.column("side").to_numpy()
@@ -360,6 +360,9 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, tile
 
 
 def drop_near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of one document of each class, that of the smallest doc_id (of repeated rows, one); rows with a null id stay."""
+    """The rows of one document of each class, that of the smallest doc_id (of repeated ids, the row of the least text); rows with a null
+    id stay. Texts without words equal each other: one of them stays."""
     keep = near_duplicates(df, words, similarity).where("doc_id = component_id").select("doc_id").distinct()
-    return df.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(df.where("doc_id is null"))
+    whole = F.struct(*(F.col(c) for c in df.columns))
+    kept = df.join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")
+    return kept.unionByName(df.where("doc_id is null"))

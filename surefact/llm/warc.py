@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, tidy
+from .common import counted, cut, tidy
 
 ARCHIVE_BYTES = 16 << 20
 SAMPLE_BYTES = 2 << 20
@@ -57,8 +57,9 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 def pack(records: list[bytes]) -> bytes:
     """One archive."""
-    step = max(1, -(-sum(map(len, records)) // SAMPLE_BYTES))
-    samples = records[::step]
+    # Records that are few or large give at least 16 samples too, then the beginnings of them.
+    step = max(1, min(-(-sum(map(len, records)) // SAMPLE_BYTES), len(records) // 16))
+    samples = [x[: max(1, SAMPLE_BYTES * step // len(records))] for x in records[::step]]
     head, options = b"", {}
     if len(samples) >= 16:
         try:
@@ -99,7 +100,8 @@ def write(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
     src = src.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("bytes", F.octet_length("html").cast("long"))
     # Counts go to the shuffle before pages do; only payloads that repeat are looked up again.
     response = src.where(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    told = src.join(response.select("digest", "response"), "digest", "left")
+    # A row for each payload that repeats. Few are broadcast, and no page is shuffled.
+    told = src.join(counted(cut(response.select("digest", "response")), 200_000), "digest", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
