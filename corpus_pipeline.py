@@ -8,7 +8,8 @@ Each stage takes all rows that its predecessor kept and is written as Parquet be
 * secrets: spans of secrets become "[secret]"; n_chars follows. No row goes.
 * packing: pieces of documents in windows of 2048 tokens.
 
-Null and empty texts pass all stages; an empty table gives an empty result.
+Null and empty texts are clean and hold no secrets; as they equal each other, one of all texts without words passes
+near_duplicates. An empty table gives an empty result.
 """
 
 from __future__ import annotations
