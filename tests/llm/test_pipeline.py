@@ -28,12 +28,14 @@ def test_stages_equal_brute_force(spark, sf):
     import public_tokenizers
     from tokenizers import Tokenizer
 
+    from pyspark.sql import functions as F
+
     from surefact.llm import queries, secrets, simhash, toxicity
     from surefact.llm.common import doc_bucket
 
     docs = table(spark, sf, "documents").cache()
     stage = dict(corpus_pipeline.STAGES)
-    labels = table(spark, sf, "labels").where(doc_bucket(docs["doc_id"], 3) != 1)
+    labels = table(spark, sf, "labels").where(doc_bucket(F.col("doc_id"), 3) != 1)
     score = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels), evidence=False).collect()}
     clean = stage["toxicity"](spark, docs, sf).cache()
     assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, s in score.items() if s < 0.7)
