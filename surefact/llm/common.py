@@ -97,6 +97,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    trim()  # models that a caller has let go of
     out = spark.read.schema(df.schema).parquet(path)
     if not _CUTS:
         atexit.register(lambda: [dropped(x) for x in list(_CUTS.values())])

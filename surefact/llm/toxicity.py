@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, raw_texts, slices, tidy
+from .common import cut, raw_texts, slices, tidy, trim
 from .hashing import ALNUM, Chunk, Table
 
 BLOCK = 256
@@ -214,6 +214,12 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, max_entries: int = 4_000_000, k: int = 25) -> Model:
     """Learn from labels (doc_id, toxic); all of `docs` give document frequencies. The driver and every task get the examples'
     distinct words: `max_entries` rows of some 20 bytes at most."""
+    model = learn(docs, labels, max_examples, max_entries, k)
+    trim()  # what the driver held of the examples would stay in its allocators
+    return model
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_examples: int, max_entries: int, k: int) -> Model:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples))
     # At most max_examples ids: a proven bound.
