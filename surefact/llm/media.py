@@ -1,12 +1,15 @@
 """Lossless WebP (VP8L) columns: a reader of whole images into pixel arrays, and a writer of 8-bit samples.
 
-The reader decodes prefix codes, meta prefix images, back-references and the colour cache, and inverts predictor,
-cross-colour, subtract-green and palette transforms. Images whose pixels are plain literals of one channel (what the
+The reader (`pixels`) decodes prefix codes, meta prefix images, back-references and the colour cache, and inverts predictor,
+cross-colour, subtract-green and palette transforms. Images of one channel with at most a palette and back-references (what the
 writer makes) are decoded side by side: each bit stream is cut into lanes, a lane's start is found by
 decoding from shortly before it (prefix codes fall into step), and a lane whose start proves wrong is decoded again.
 
 Samples are stored as the green channel, at most `ROWS` rows of 64 samples an image, longer payloads as several images one
-after the other. Defined results: a null text is empty; an empty payload is 64 zeros; equal texts give equal files.
+after the other. Images of at most 16 different samples get a palette, which packs two to eight samples into one; passages that
+stood before in an image are back-references. Colour cache, predictor and cross-colour are never smaller on one channel of text, so
+only the reader knows them. Defined results: a null text is empty; an empty payload is 64 zeros; equal texts give equal files;
+a null or damaged image has no pixels.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ import hashlib
 import heapq
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +29,12 @@ from pyspark.sql import DataFrame
 from .common import raw_texts, slices, tidy
 
 WIDTH, ROWS = 64, 16384
-LIMIT = 12
+LIMIT, FAR_LIMIT = 12, 8  # longest codes of samples and of distances
 LANE, RUN_UP = 4096, 384
+GRAM, LONGEST = 16, 4096  # least and greatest length of a back-reference
+PLACES = 120  # distance codes that name a place nearby
+#: An odd multiplier for hashes of eight bytes.
+ODD = 0x9E3779B97F4A7C15
 #: Order in which the lengths of code length codes are stored (fixed values).
 ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 #: Places (x to the left, y up) of the first 120 distance codes (fixed values).
@@ -151,40 +160,186 @@ def put_code(out: Bits, lengths: list[int]) -> None:
 # -- writing --------------------------------------------------------------------------------------
 
 
+def common(raw: bytes, i: int, j: int, most: int) -> int:
+    """How many bytes from i on equal those from j on."""
+    n, step = 0, 64
+    while n < most:
+        m = min(step, most - n)
+        x, y = raw[i + n : i + n + m], raw[j + n : j + n + m]
+        if x != y:
+            differ = int.from_bytes(x, "little") ^ int.from_bytes(y, "little")
+            return n + (((differ & -differ).bit_length() - 1) >> 3)
+        n, step = n + m, min(2 * step, LONGEST)
+    return n
+
+
+def repeats(raw: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Back-references (start, length, distance), none over another, within images that stand from `begin` to `end`.
+
+    Places whose hash of the `GRAM` bytes from there is least among the four before and after look for the last such place of
+    the same hash before; what is equal there is widened to both sides."""
+    none = np.zeros(0, dtype=np.int64)
+    if len(raw) < 2 * GRAM:
+        return none, none, none
+    eight = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+    key = (eight[: len(raw) - GRAM + 1] * np.uint64(ODD)) ^ eight[8:]
+    key *= np.uint64(ODD)
+    beyond = np.iinfo(np.uint64).max  # of places from which an image has not enough bytes
+    cross = (np.maximum(end - GRAM + 1, begin)[:, None] + np.arange(GRAM - 1)).ravel()
+    key[cross[(cross < np.repeat(end, GRAM - 1)) & (cross < len(key))]] = beyond
+    least = np.concatenate([np.full(4, beyond), key, np.full(4, beyond)])
+    for step in (1, 2, 4, 1):
+        least = np.minimum(least[:-step], least[step:])
+    at = np.nonzero((key == least) & (key < beyond))[0]
+    image, key = np.searchsorted(end, at, side="right"), key[at]
+    order = np.argsort(key, kind="stable")
+    again = np.nonzero((key[order][1:] == key[order][:-1]) & (image[order][1:] == image[order][:-1]))[0]
+    here, before = at[order[again + 1]], at[order[again]]
+    order = np.argsort(here)
+    here, before = here[order].tolist(), before[order].tolist()
+    first, last = begin.tolist(), end.tolist()
+    out, k, done, where = [], 0, 0, np.searchsorted(end, here, side="right").tolist()
+    while k < len(here):
+        i, j, lo, hi = here[k], before[k], first[where[k]], last[where[k]]
+        n = common(raw, i, j, hi - i)
+        if n >= GRAM and i - j <= (1 << 20) - PLACES:
+            lo = max(lo, done)
+            back = i - j
+            stop = i + n
+            while i > lo and i - back > first[where[k]] and raw[i - 1] == raw[i - 1 - back]:
+                i -= 1
+            for a in range(i, stop, LONGEST):
+                out.append((a, min(LONGEST, stop - a), back))
+            done = stop
+            k = bisect_left(here, done, k + 1)
+        else:
+            k += 1
+    found = np.array(out, dtype=np.int64).reshape(-1, 3)
+    return found[:, 0], found[:, 1], found[:, 2]
+
+
+def prefixed(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, extra bits and how many they are, of lengths or distances from 1 on."""
+    x = value - 1
+    top = np.frexp(np.maximum(x, 1).astype(np.float64))[1] - 1
+    small = x < 4
+    extra = np.where(small, 0, top - 1)
+    return np.where(small, x, 2 * top + ((x >> np.maximum(top - 1, 0)) & 1)), x & ((1 << extra) - 1), extra
+
+
+def put_palette(out: Bits, colours: list[int]) -> None:
+    """The palette transform: opaque green colours in rising order, each by its step from the one before."""
+    steps = [b - a for a, b in zip([0, *colours], colours, strict=False)]
+    out.put(1, 1)
+    out.put(3, 2)
+    out.put(len(colours) - 1, 8)
+    out.put(0, 1)  # no colour cache
+    counts = [0] * 256
+    for x in steps:
+        counts[x] += 1
+    lengths = code_lengths(counts, LIMIT)
+    put_code(out, lengths + [0] * 24)
+    put_simple(out, 0)
+    put_simple(out, 0)
+    if len(colours) == 1:
+        put_simple(out, 255)
+    else:  # two symbols, 0 and 255
+        out.put(1, 1)
+        out.put(1, 1)
+        out.put(0, 1)
+        out.put(0, 1)
+        out.put(255, 8)
+    put_simple(out, 0)
+    codes, single = canonical(lengths), len(set(steps)) == 1
+    for k, x in enumerate(steps):
+        if not single:
+            out.put(codes[x], lengths[x])
+        if len(colours) > 1:
+            out.put(int(k == 0), 1)
+
+
+def packing_of(colours: int) -> int:
+    """How many samples a palette of that size packs into one, as a power of two."""
+    return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
+
+
 def write_samples(payloads: list[bytes]) -> list[bytes]:
     """A lossless WebP file (or several in a row) of each payload, whose length is a positive multiple of 64."""
     parts = [(k, p[a : a + WIDTH * ROWS]) for k, p in enumerate(payloads) for a in range(0, len(p), WIDTH * ROWS)]
     n = len(parts)
-    data = np.frombuffer(b"".join(p for _, p in parts), dtype=np.uint8)
+    rows = [len(p) // WIDTH for _, p in parts]
+    raw = b"".join(p for _, p in parts)
     sizes = np.array([len(p) for _, p in parts], dtype=np.int64)
+    seen = np.bincount(np.repeat(np.arange(n), sizes) * 256 + np.frombuffer(raw, dtype=np.uint8), minlength=256 * n).reshape(n, 256) > 0
+    few = {}
+    for k in np.nonzero(seen.sum(axis=1) <= 16)[0].tolist():
+        colours = np.nonzero(seen[k])[0]
+        pack = packing_of(len(colours))
+        index = np.searchsorted(colours, np.frombuffer(parts[k][1], dtype=np.uint8)).reshape(-1, 1 << pack)
+        packed = (index << (np.arange(1 << pack) * (8 >> pack))).sum(axis=1).astype(np.uint8).tobytes()
+        parts[k], few[k], sizes[k] = (parts[k][0], packed), colours.tolist(), len(packed)
+    if few:
+        raw = b"".join(p for _, p in parts)
+    data = np.frombuffer(raw, dtype=np.uint8)
     image = np.repeat(np.arange(n), sizes)
-    counts = np.bincount(image * 256 + data, minlength=256 * n).reshape(n, 256)
-    codes, widths = np.zeros((n, 256), dtype=np.uint64), np.zeros((n, 256), dtype=np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    place, length, back = repeats(raw, starts, ends)
+    symbol = data.astype(np.int64)
+    covered = np.zeros(len(data), dtype=bool)
+    long_, long_bits, long_n = prefixed(length)
+    far, far_bits, far_n = prefixed(back + PLACES)
+    if len(place):
+        edge = np.zeros(len(data) + 1, dtype=np.int8)
+        edge[place] += 1
+        np.subtract.at(edge, place + length, 1)
+        covered = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        symbol[place] = 256 + long_
+        covered[place] = False
+    told = np.nonzero(~covered)[0]
+    counts = np.bincount(image[told] * 280 + symbol[told], minlength=280 * n).reshape(n, 280)
+    of = image[place]
+    far_counts = np.bincount(of * 40 + far, minlength=40 * n).reshape(n, 40)
+    codes, widths = np.zeros((n, 280), dtype=np.uint64), np.zeros((n, 280), dtype=np.int64)
+    far_codes, far_widths = np.zeros((n, 40), dtype=np.uint64), np.zeros((n, 40), dtype=np.int64)
     heads: list[Bits] = []
     for k in range(n):
-        own = counts[k].tolist()
-        lengths = code_lengths(own, LIMIT)
+        lengths = code_lengths(counts[k].tolist(), LIMIT)
         head = Bits()
         head.put(0x2F, 8)
         head.put(WIDTH - 1, 14)
-        head.put(int(sizes[k]) // WIDTH - 1, 14)
+        head.put(rows[k] - 1, 14)
         head.put(0, 1 + 3)  # no alpha, version 0
-        head.put(0, 1 + 1 + 1)  # no transform, no colour cache, no meta prefix codes
-        put_code(head, lengths + [0] * 24)
-        for symbol in (0, 0, 255, 0):  # red, blue, alpha, distance
-            put_simple(head, symbol)
+        if k in few:
+            put_palette(head, few[k])
+        head.put(0, 1 + 1 + 1)  # no more transforms, no colour cache, no meta prefix codes
+        put_code(head, lengths)
+        for x in (0, 0, 255):  # red, blue, alpha
+            put_simple(head, x)
         if sum(1 for x in lengths if x) > 1:
             codes[k], widths[k] = canonical(lengths), lengths
+        some = np.count_nonzero(far_counts[k])
+        if some:
+            lengths = code_lengths(far_counts[k].tolist(), FAR_LIMIT)
+            put_code(head, lengths)
+            if some > 1:
+                far_codes[k], far_widths[k] = canonical(lengths), lengths
+        else:
+            put_simple(head, 0)
         heads.append(head)
-    width = widths[image, data]
-    starts = np.cumsum(sizes) - sizes
+    width, code = widths[image, symbol], codes[image, symbol]
+    width[covered], code[covered] = 0, 0
+    # A back-reference's code, extra bits, distance code and its extra bits make one number of at most 50 bits.
+    for value, bits in ((long_bits, long_n), (far_codes[of, far], far_widths[of, far]), (far_bits, far_n)):
+        code[place] |= value.astype(np.uint64) << width[place].astype(np.uint64)
+        width[place] += bits
     total = np.add.reduceat(width, starts)
     head_bits = np.array([h.n for h in heads], dtype=np.int64)
     words = (head_bits + total + 63) // 64 + 1
     slot = np.cumsum(words) - words
     at = np.cumsum(width)
     at += np.repeat(slot * 64 + head_bits - (at[starts] - width[starts]), sizes) - width
-    code, word, shift = codes[image, data], at >> 6, (at & 63).astype(np.uint64)
+    word, shift = at >> 6, (at & 63).astype(np.uint64)
     out = np.zeros(int(words.sum()), dtype="<u8")
     first = np.nonzero(np.append(True, word[1:] != word[:-1]))[0]
     out[word[first]] = np.bitwise_or.reduceat(code << shift, first)
@@ -441,94 +596,184 @@ def read_general(stream: bytes) -> np.ndarray:
     return p.astype(np.uint8)
 
 
-def plain_samples(stream: bytes) -> tuple[int, int, Table] | None:
-    """(first bit of the pixels, pixels, code) if the pixels are green literals and nothing else varies."""
-    r = Reader(stream[:4096])
+class Plain(NamedTuple):
+    """An image of one channel: where its pixels begin, how many a row and in all are stored, the codes and the palette, if it has one."""
+
+    stream: bytes
+    first: int
+    width: int
+    n: int
+    green: Table
+    far: Table
+    palette: np.ndarray | None
+
+
+def plain_samples(stream: bytes) -> Plain | None:
+    """The image if its pixels are green samples or back-references, with a palette of at most 16 colours or none."""
+    r = Reader(stream[:8192])
     if r.get(8) != 0x2F:
         return None
-    n = (r.get(14) + 1) * (r.get(14) + 1)
-    if r.get(1 + 3) or r.get(3):
+    width, height, palette = r.get(14) + 1, r.get(14) + 1, None
+    if r.get(1 + 3) or width != WIDTH:
         return None
-    green, others = Code(r, 280), [Code(r, 256) for _ in range(3)]
-    Code(r, 40)
-    if any(x.table.only is None for x in others) or any(green.lengths[256:]) or green.table.width > LIMIT:
+    if r.get(1):
+        if r.get(2) != 3:
+            return None
+        size = r.get(8) + 1
+        if size > 16:
+            return None
+        own = np.cumsum(channels(read_image(r, size, 1, False)), axis=0) & 0xFF
+        palette, width = np.zeros(16, dtype=np.uint8), width >> packing_of(size)
+        palette[:size] = own[:, 2]
+        palette = palette[: 1 << (8 >> packing_of(size))]
+        if r.get(1):
+            return None
+    if r.get(2):
         return None
-    if [x.table.only for x in others] != [0, 0, 255]:
+    green, others = Code(r, 280), [Code(r, 256) for _ in range(3)]
+    far = Code(r, 40)
+    if green.table.width > LIMIT or far.table.width > FAR_LIMIT or [x.table.only for x in others] != [0, 0, 255]:
         return None
-    return r.at, n, green.table
+    return Plain(stream, r.at, width, width * height, green.table, far.table, palette)
+
+
+def unpacked(image: Plain, stored: np.ndarray) -> np.ndarray:
+    """The samples that a palette's indices stand for."""
+    if image.palette is None:
+        return stored
+    bits = len(image.palette).bit_length() - 1
+    shifts = np.arange(0, 8, bits, dtype=np.uint8)
+    return image.palette[(stored[:, None] >> shifts) & np.uint8((1 << bits) - 1)].ravel()
+
+
+def replayed(tokens: np.ndarray, at: np.ndarray, length: np.ndarray, back: np.ndarray, n: int) -> np.ndarray:
+    """The n pixels of a sequence of literals in which the tokens `at` are back-references."""
+    if not len(at) and len(tokens) >= n:
+        return tokens[:n].astype(np.uint8)
+    sizes = np.ones(len(tokens), dtype=np.int64)
+    sizes[at] = length
+    ends = np.cumsum(sizes)
+    enough = int(np.searchsorted(ends, n))
+    if enough == len(ends) or ends[enough] != n:
+        raise ValueError("the stream ends too early, or a back-reference leaves the image")
+    place = (ends - sizes)[: enough + 1]
+    out = np.empty(n, dtype=np.uint8)
+    literal = np.ones(enough + 1, dtype=bool)
+    at = at[: np.searchsorted(at, enough, side="right")]
+    literal[at] = False
+    out[place[literal]] = tokens[: enough + 1][literal]
+    for i, m, d in zip(place[at].tolist(), length.tolist(), back.tolist(), strict=False):
+        if not 0 < d <= i:
+            raise ValueError("a back-reference leaves the image")
+        if d >= m:
+            out[i : i + m] = out[i - d : i - d + m]
+        else:
+            out[i : i + m] = np.resize(out[i - d : i], m)
+    return out
 
 
-def read_lanes(images: list[tuple[bytes, int, int, Table]]) -> list[np.ndarray]:
-    """Samples of several images of plain literals, all lanes in step."""
-    many = [k for k, x in enumerate(images) if x[3].width]
-    out = [np.full(n, 0 if t.only is None else t.only, dtype=np.uint8) for _, _, n, t in images]
-    if not many:
-        return out
-    data = np.frombuffer(b"".join(images[k][0] + b"\0" * 4 for k in many), dtype=np.uint8).astype(np.uint32)
-    three = data[:-2] | data[1:-1] << np.uint32(8) | data[2:] << np.uint32(16)
-    table = np.zeros((len(many), 1 << LIMIT), dtype=np.uint16)
-    begin, end, base = [], [], 0
-    for j, k in enumerate(many):
-        stream, first, _, t = images[k]
-        both = (t.symbols | t.sizes << 8).astype(np.uint16)
-        table[j] = np.tile(both, 1 << (LIMIT - t.width))
-        begin.append(8 * base + first)
-        end.append(8 * (base + len(stream)))
-        base += len(stream) + 4
-    table = table.ravel()
-    begin_, end_ = np.array(begin, dtype=np.int64), np.array(end, dtype=np.int64)
-    lanes = np.maximum(1, -(-(end_ - begin_) // LANE))
-    image = np.repeat(np.arange(len(many)), lanes)
+def read_lanes(images: list[Plain]) -> list[np.ndarray]:
+    """Samples of several plain images, all lanes in step."""
+    many = [k for k, x in enumerate(images) if x.green.width]
+    out = [np.full(x.n, 0 if x.green.only is None else x.green.only, dtype=np.uint8) for x in images]
+    if many:
+        pad = b"\0" * 16
+        data = np.frombuffer(b"".join(images[k].stream + pad for k in many), dtype=np.uint8).astype(np.uint32)
+        four = data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16) | data[3:] << np.uint32(24)
+        table, far_table = np.zeros((len(many), 1 << LIMIT), dtype=np.uint16), np.zeros((len(many), 1 << FAR_LIMIT), dtype=np.uint16)
+        begin, end, base = [], [], 0
+        for j, k in enumerate(many):
+            x = images[k]
+            table[j] = np.tile((x.green.symbols | x.green.sizes << 9).astype(np.uint16), 1 << (LIMIT - x.green.width))
+            far_table[j] = np.tile((x.far.symbols | x.far.sizes << 9).astype(np.uint16), 1 << (FAR_LIMIT - x.far.width))
+            begin.append(8 * base + x.first)
+            end.append(8 * (base + len(x.stream)))
+            base += len(x.stream) + len(pad)
+        for j, (tokens, at, length, back) in enumerate(decoded(four, table.ravel(), far_table.ravel(), np.array(begin), np.array(end), [images[k].width for k in many])):
+            out[many[j]] = replayed(tokens, at, length, back, images[many[j]].n)
+    return [unpacked(x, own) for x, own in zip(images, out, strict=True)]
+
+
+def decoded(four: np.ndarray, table: np.ndarray, far_table: np.ndarray, begin: np.ndarray, end: np.ndarray, widths: list[int]) -> list[tuple[np.ndarray, ...]]:
+    """Of each image, whose bits stand from `begin` to `end`: tokens, which of them are back-references, lengths and distances.
+
+    `four` has the 32 bits from each byte on, the tables of all images stand one after the other."""
+    lanes = np.maximum(1, -(-(end - begin) // LANE))
+    image = np.repeat(np.arange(len(begin)), lanes)
     no = np.arange(len(image)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-    edge = begin_[image] + no * LANE  # where a lane's bits begin
-    stop = np.minimum(edge + LANE, end_[image])
+    edge = begin[image] + no * LANE  # where a lane's bits begin
+    stop = np.minimum(edge + LANE, end[image])
 
-    def run(who: np.ndarray, at: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Decode lanes from `at` until their stops: where they end, how many symbols, and the symbols."""
+    def extra(at: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of length or distance symbols whose extra bits begin at `at`, and where these end."""
+        n = np.where(symbol < 4, 0, (symbol - 2) >> 1)
+        bits = (four[at >> 3] >> (at & 7).astype(np.uint32)).astype(np.int64) & ((1 << n) - 1)
+        return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << n) + bits + 1), at + n
+
+    def run(who: np.ndarray, at: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Decode lanes from `at` until their stops: where they end, how many tokens, the tokens, and (token, length, distance) of back-references."""
         at, goal, offset = at.copy(), stop[who], image[who] << LIMIT
-        count, live, steps = np.zeros(len(who), dtype=np.int64), np.nonzero(at < goal)[0], []
+        count, live, steps, copies = np.zeros(len(who), dtype=np.int64), np.nonzero(at < goal)[0], [], []
         here, to, off = at[live], goal[live], offset[live]
         while len(live):
-            got = table[off + ((three[here >> 3] >> (here & 7).astype(np.uint32)) & np.uint32((1 << LIMIT) - 1))]
+            got = table[off + ((four[here >> 3] >> (here & 7).astype(np.uint32)) & np.uint32((1 << LIMIT) - 1))]
+            here = here + (got >> 9)
+            got &= 511
+            if got.max() > 255:
+                some = np.nonzero(got > 255)[0]
+                length, now = extra(here[some], got[some].astype(np.int64) - 256)
+                far = far_table[(off[some] >> (LIMIT - FAR_LIMIT)) + ((four[now >> 3] >> (now & 7).astype(np.uint32)) & np.uint32((1 << FAR_LIMIT) - 1))]
+                place, here[some] = extra(now + (far >> 9), (far & 511).astype(np.int64))
+                if keep:
+                    copies.append((live[some], np.full(len(some), len(steps)), length, place))
             if keep:
-                steps.append((live, (got & 255).astype(np.uint8)))
-            here = here + (got >> 8)
+                steps.append((live, got))
             on = here < to
             if not on.all():
                 off_now = ~on
                 at[live[off_now]] = here[off_now]
                 count[live[off_now]] = len(steps)
                 live, here, to, off = live[on], here[on], to[on], off[on]
-        symbols = np.zeros(0, dtype=np.uint8)
+        tokens, far_ = np.zeros(0, dtype=np.uint16), np.zeros((4, 0), dtype=np.int64)
         if keep and steps:
             ends = np.cumsum(count)
-            symbols = np.empty(int(ends[-1]), dtype=np.uint8)
+            tokens = np.empty(int(ends[-1]), dtype=np.uint16)
             head = ends - count
             for step, (lane, got) in enumerate(steps):
-                symbols[head[lane] + step] = got
-        return at, count, symbols
+                tokens[head[lane] + step] = got
+        if copies:
+            far_ = np.stack([np.concatenate(x) for x in zip(*copies, strict=True)])
+            far_ = far_[:, np.lexsort((far_[1], far_[0]))]
+        return at, count, tokens, far_
 
     # Guess each lane's end, which is the next lane's start, by decoding its last bits only.
     every = np.arange(len(image))
-    guess, _, _ = run(every, np.maximum(edge, stop - RUN_UP), False)
+    guess = run(every, np.maximum(edge, stop - RUN_UP), False)[0]
     start = edge.copy()
     inner = np.nonzero(no > 0)[0]
     start[inner] = guess[inner - 1]
-    ended, count, symbols = run(every, start, True)
-    pieces = np.split(symbols, np.cumsum(count)[:-1])
+
+    def split(who: np.ndarray, count: np.ndarray, tokens: np.ndarray, copies: np.ndarray) -> Iterator[tuple]:
+        bounds = np.searchsorted(copies[0], np.arange(len(who) + 1))
+        return zip(who.tolist(), np.split(tokens, np.cumsum(count)[:-1]), (copies[1:, a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)), strict=True)
+
+    ended, *found = run(every, start, True)
+    pieces = {k: (tokens, copies) for k, tokens, copies in split(every, *found)}
     while len(wrong := inner[start[inner] != ended[inner - 1]]):
         start[wrong] = ended[wrong - 1]
-        e, c, s = run(wrong, start[wrong], True)
-        ended[wrong] = e
-        for k, piece in zip(wrong.tolist(), np.split(s, np.cumsum(c)[:-1]), strict=True):
-            pieces[k] = piece
-    at = 0
-    for j, k in enumerate(many):
-        whole = np.concatenate(pieces[at : at + int(lanes[j])])
-        at += int(lanes[j])
-        if len(whole) < images[k][2]:
-            raise ValueError("the stream ends too early")
-        out[k] = whole[: images[k][2]]
+        ended[wrong], *found = run(wrong, start[wrong], True)
+        pieces.update((k, (tokens, copies)) for k, tokens, copies in split(wrong, *found))
+    out, k = [], 0
+    for m, width in zip(lanes.tolist(), widths, strict=True):
+        own = [pieces[x] for x in range(k, k + m)]
+        k += m
+        head = np.cumsum([0] + [len(tokens) for tokens, _ in own[:-1]])
+        at, length, place = np.concatenate([copies + np.array([[h], [0], [0]]) for h, (_, copies) in zip(head, own, strict=True)], axis=1)
+        back = place - PLACES
+        for x in np.nonzero(place <= PLACES)[0].tolist():
+            dx, dy = NEAR[place[x] - 1]
+            back[x] = max(1, dx + dy * width)
+        out.append((np.concatenate([tokens for tokens, _ in own]), at, length, back))
     return out
 
 
@@ -540,7 +785,7 @@ def read_samples(files: list[bytes]) -> list[bytes]:
             found = plain_samples(stream)
             out[k].append(None)
             if found:
-                plain.append((stream, *found))
+                plain.append(found)
                 where.append((k, len(out[k]) - 1))
             else:
                 out[k][-1] = read_general(stream)[..., 2].tobytes()
@@ -593,5 +838,28 @@ def describe(media: DataFrame) -> DataFrame:
                 )
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(
-        run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+        tidy(run), f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
+
+
+def pixels(media: DataFrame) -> DataFrame:
+    """(doc_id, image int, width int, height int, argb binary) of every lossless image in rows (doc_id, media): four bytes a pixel,
+    alpha, red, green, blue, row by row. A media value may hold several files one after the other."""
+
+    def read(file: bytes | None) -> list[np.ndarray]:
+        try:
+            return [read_general(x) for x in streams(file or b"")]
+        except (ValueError, IndexError, struct.error):
+            return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "media"):
+                rows = [(k, j, x) for k, file in enumerate(part.column(1).to_pylist()) for j, x in enumerate(read(file))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array([k for k, _, _ in rows], pa.int64())), pa.array([j for _, j, _ in rows], pa.int32()),
+                     *(pa.array([x.shape[side] for _, _, x in rows], pa.int32()) for side in (1, 0)), pa.array([x.tobytes() for _, _, x in rows], pa.binary())],
+                    ["doc_id", "image", "width", "height", "argb"],
+                )
+
+    return media.select("doc_id", "media").mapInArrow(tidy(run), f"doc_id {media.schema['doc_id'].dataType.simpleString()}, image int, width int, height int, argb binary")

@@ -152,6 +152,33 @@ def test_media_inverts_colour_transforms_and_palette():
     assert (got == np.array(colours)[index]).all()
 
 
+def test_media_writes_back_references_and_palettes():
+    """Passages that stand before are shorter than literals, few colours are packed, and both readers agree."""
+    line = random.Random(3).randbytes(200)
+    raw = [media.padded(x) for x in (line + b"?" * 70 + line, line * 40, b"xyz\n" * 9, b"no " * 999, b"0123456789abcdef" * 8, b"\1" * 640, random.Random(4).randbytes(600) * 2000)]
+    files = media.write_samples(raw)
+    assert media.read_samples(files) == raw
+    assert [media.plain_samples(next(media.streams(f))).palette is not None for f in files] == [False, False, True, True, True, True, False]
+    assert len(files[0]) < 400 and len(files[1]) < 400 and len(files[3]) < 200 and len(files[-1]) < 5000
+    for f, p in zip(files[:-1], raw[:-1], strict=True):
+        image = media.read_general(next(media.streams(f)))
+        assert image[..., 2].tobytes() == p and (image[..., 0] == 255).all() and not image[..., [1, 3]].any()
+    # A file does not depend on those written with it.
+    assert [media.write_samples([p])[0] for p in raw] == files
+
+
+def test_media_pixels_of_all_channels(spark):
+    want = np.random.default_rng(2).integers(0, 256, (3, 5, 4))
+    body = stream(5, 3, [], literal_image([a << 24 | r << 16 | g << 8 | b for a, r, g, b in want.reshape(-1, 4).tolist()], True))
+    chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
+    file = b"RIFF" + (len(chunk) + 4).to_bytes(4, "little") + b"WEBP" + chunk
+    df = spark.createDataFrame([(1, file, 0), (2, None, 0), (3, b"", 0), (4, b"broken", 0), (5, file * 2, 0)], "doc_id long, media binary, width int")
+    got = {(r.doc_id, r.image): r for r in media.pixels(df).collect()}
+    assert sorted(got) == [(1, 0), (5, 0), (5, 1)]
+    assert all((r.width, r.height, bytes(r.argb)) == (5, 3, want.astype(np.uint8).tobytes()) for r in got.values())
+    assert media.pixels(df.limit(0)).count() == 0
+
+
 def test_media_back_references_and_cache():
     """Two literals, a copy of ten from distance 2, then a pixel from the colour cache."""
     out = bits((1, 1), (2, 4), (0, 1))  # cache of 4
