@@ -3,8 +3,9 @@
 Equal vectors are one node that keeps its `k + 1` smallest ids, so that copies neither crowd a graph nor hide others.
 Nodes are dealt to shards of about `SHARD` by hash. A graph grows by batches: a greedy beam search from the
 medoid proposes neighbours, pruning keeps a near one and drops those that it is `alpha` times nearer to, and
-reverse edges are pruned likewise. Queries, in blocks of up to `BLOCK`, search every shard by beam; what is found is
-measured again in double precision on the original vectors.
+reverse edges are pruned likewise. Queries search every shard by beam, in blocks of about `BLOCK_BYTES`, several times a graph's
+size: a graph is sent once for each block, so most of what moves are the queries. What is found is measured again in double
+precision on the original vectors, which a graph holds as they are given (single precision stays single).
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part;
 only vectors of one length are compared; a (id, vector) row counts once; ties go to the smaller id; a null id
@@ -17,11 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window
 
 from .common import cut
 
-SHARD, BLOCK = 8192, 2048
+SHARD, BLOCK_BYTES = 8192, 16 << 20
 DEGREE, BEAM_BUILD, BEAM_SEARCH, ALPHA, EXPAND = 32, 48, 96, 1.2, 4
 
 
@@ -144,12 +146,18 @@ def valid(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0)
 
 
+def precision(vector: ArrayType) -> type:
+    """The numpy type that holds such vectors as they are."""
+    return np.float32 if isinstance(vector.elementType, FloatType) else np.float64
+
+
 def graphs(nodes: DataFrame, shards: int) -> DataFrame:
-    """A row (shard, dim, x, out, entry, ids) for each shard of rows (h, v, ids)."""
+    """A row (shard, dim, x, out, entry, ids) for each shard of rows (h, v, ids); x are the vectors in their own precision."""
+    own = precision(nodes.schema["v"].dataType)
 
     def build(t: pa.Table) -> pa.Table:
         v = t.column("v").combine_chunks()
-        x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+        x = v.flatten().to_numpy(zero_copy_only=False).astype(own).reshape(len(v), -1)
         g = Graph.build(x.astype(np.float32))
         return pa.table(
             {"shard": t.column("shard").slice(0, 1), "dim": pa.array([x.shape[1]], pa.int32()), "x": pa.array([x.tobytes()], pa.binary()), "out": pa.array([g.out.tobytes()], pa.binary()),
@@ -161,7 +169,7 @@ def graphs(nodes: DataFrame, shards: int) -> DataFrame:
 
 
 def blocks_of(queries: DataFrame, n: int) -> DataFrame:
-    """Rows (block, dim, q, qid) of up to about BLOCK queries each."""
+    """Rows (block, dim, q, qid), the queries dealt to n blocks."""
 
     def gather(t: pa.Table) -> pa.Table:
         v = t.column("v").combine_chunks()
@@ -180,9 +188,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, shard: int = SHAR
     kept = rows.dropDuplicates(["vec_id", "h", "v"]).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     nodes = cut(kept.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
     asked = cut(rows.where("asks").groupBy("vec_id").agg(F.min("v").alias("v")))
-    n, m = nodes.count(), asked.count()
+    n = nodes.count()
+    held = asked.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0
     built = cut(graphs(nodes, max(1, round(n / shard))))
-    n_blocks = max(1, -(-m // BLOCK))
+    n_blocks = max(1, -(-8 * held // BLOCK_BYTES))
+    own = precision(nodes.schema["v"].dataType)
     every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     packed = blocks_of(asked, n_blocks)
     # Every block meets every shard of its length, by keys: both sides are dealt out, none is broadcast.
@@ -193,14 +203,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, shard: int = SHAR
     def ask(t: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
         for r in t.to_pylist():
-            x = np.frombuffer(r["x"]).reshape(-1, r["dim"])
-            g = Graph(x.astype(np.float32), np.frombuffer(r["out"], dtype=np.int32).reshape(len(x), -1), r["entry"])
+            x = np.frombuffer(r["x"], dtype=own).reshape(-1, r["dim"])
+            g = Graph(x.astype(np.float32, copy=False), np.frombuffer(r["out"], dtype=np.int32).reshape(len(x), -1), r["entry"])
             q, qid, ids = np.frombuffer(r["q"]).reshape(-1, r["dim"]), r["qid"], r["ids"]
             for lo in range(0, len(q), 512):
                 found, _ = g.search(q[lo : lo + 512].astype(np.float32), max(BEAM_SEARCH, 2 * k))
                 for query, me, near in zip(q[lo : lo + 512], qid[lo : lo + 512], found, strict=True):
                     near = near[near >= 0]
-                    d = np.sqrt(((x[near] - query) ** 2).sum(axis=1))
+                    d = np.sqrt(((x[near].astype(np.float64) - query) ** 2).sum(axis=1))
                     who = [ids[i] for i in near.tolist()]
                     vec = np.array([v for w in who for v in w], dtype=np.int64)
                     far = np.repeat(d, [len(w) for w in who])
