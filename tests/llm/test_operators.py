@@ -62,6 +62,21 @@ def test_neighbours_find_what_brute_force_finds(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_neighbours_in_many_blocks_and_double_precision(spark, monkeypatch):
+    """Several blocks of queries meet several graphs; what single precision cannot tell apart is ranked exactly."""
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 256)
+    x = np.random.default_rng(5).normal(size=(600, 6))
+    x[1:12] = x[0] + np.arange(11, 0, -1)[:, None] * 1e-11
+    df = spark.createDataFrame([(i, v.tolist(), "extra") for i, v in enumerate(x)], "vec_id long, embedding array<double>, h string")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0, 10, shard=200).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == list(range(0, 600, 100))
+    assert [v for _, v, _ in sorted(got[0])] == list(range(11, 1, -1))
+    for q, near in got.items():
+        assert all(abs(s - np.sqrt(((x[v] - x[q]) ** 2).sum())) < 1e-15 for _, v, s in near) and len(near) == 10
+
+
 def test_media_round_trip(spark):
     raw = [media.padded(x) for x in (b"", b"a", bytes(range(256)) * 3, b"ab" * 700_000, random.Random(1).randbytes(5000))]
     files = media.write_samples(raw)
@@ -220,6 +235,13 @@ def test_licences_find_phrases_everywhere(spark):
     assert [s.label for s in rows[len(texts) - 1].spans] == ["bsd"]
 
 
+def test_licences_tell_each_notice(spark):
+    """Every notice in the middle of other words has its own label and no other."""
+    texts = [f"some words before it {text} and words behind" for _, text in licences.NOTICES]
+    for r in licences.scan(documents(spark, texts)).collect():
+        assert {s.label for s in r.spans} <= {licences.NOTICES[r.doc_id][0]} and max((s.cover for s in r.spans), default=0) == 1, r
+
+
 def test_packing_loses_and_repeats_nothing(spark):
     rnd = random.Random(4)
     texts = ODD + [" ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "omega", "zeta"]) for _ in range(rnd.randint(1, 900))) for _ in range(120)] + ["alpha beta " * 6000]
