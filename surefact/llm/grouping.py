@@ -66,11 +66,25 @@ class Forest:
                 self.links.append((x, y))
 
 
+#: A node of more links than this, and than a 10,000th of all, is looked up apart.
+HOT = 1000
+
+
+def looked_up(rows: DataFrame, key: str, other: str, least: DataFrame, most: int) -> DataFrame:
+    """Rows (key, other) with the m of their key in `least` (key, m, k rows). Keys of more than `most` rows are broadcast, and their
+    rows go on by `other` instead of meeting in one task: rows divided by `most` bounds how many keys these are."""
+    hot = least.where(F.col("k") > most).select(key, F.col("m").alias("hm"))
+    at = F.when(F.col("hm").isNull(), F.col(key)).otherwise(F.xxhash64(other))
+    rest = least.select(F.col(key).alias("at"), "m")
+    return rows.join(F.broadcast(hot), key, "left").withColumn("at", at).join(rest, "at", "left").select(key, other, F.coalesce("hm", "m").alias("m"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node of links (a, b), by alternating stars.
 
     Large star ties every larger neighbour of a node to its smallest, small star every smaller one. Each
-    round is written to the shared folder; rounds grow with the logarithm of the longest path.
+    round is written to the shared folder; rounds grow with the logarithm of the longest path. Nodes of many links are
+    at most 20,000 (`looked_up`), as they have a 10,000th of all links each.
     """
     now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
@@ -80,9 +94,10 @@ def components(links: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct()).distinct()
         state = (n, digest)
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        next_ = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small)
+        most = max(HOT, n // 10_000)
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")).select("u", F.least("u", "m").alias("m"), "k")
+        large = looked_up(both.where("v > u"), "u", "v", least, most).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k"))
+        next_ = looked_up(large, "a", "b", small, most).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", "m"))
         last, now = now, cut(next_.distinct())
         dropped(last)

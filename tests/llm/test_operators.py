@@ -11,7 +11,7 @@ import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from surefact.llm import bpe, licences, media, neighbours, ngrams, packing, secrets, simhash, toxicity, warc
+from surefact.llm import bpe, grouping, licences, media, neighbours, ngrams, packing, secrets, simhash, toxicity, warc
 from surefact.llm.queries import TOKENIZER
 
 PATH = public_tokenizers.path(TOKENIZER)
@@ -225,6 +225,20 @@ def test_media_back_references_and_cache():
     assert media.channels(np.array(want, dtype=np.uint32)).tolist() == got[0].tolist()
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Hubs that are the least, the greatest or a middle node of their stars, paths between them and nodes apart."""
+    monkeypatch.setattr(grouping, "HOT", 20)
+    links = [(5, k) for k in range(100, 160)] + [(9000, k) for k in range(200, 270)] + [(350, k) for k in range(300, 400) if k != 350]
+    links += [(159, 200)] + [(k, k + 1) for k in range(500, 515)] + [(7, 7), (8, 6), (6, 8)]
+    forest = {}
+    root = lambda x: x if forest.setdefault(x, x) == x else root(forest[x])
+    for a, b in links:
+        p, q = sorted((root(a), root(b)))
+        forest[q] = p
+    got = {r.node: r.root for r in grouping.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in forest if x != 7}
+
+
 def test_licences_find_phrases_everywhere(spark):
     texts = ODD + ["The MIT License. GNU General\nPublic License, apache-license cc by", "Licensed under the Apache License, Version 2.0.", "mit mit license license", licences.NOTICES[5][1].upper()]
     rows = {r.doc_id: r for r in licences.scan(documents(spark, texts)).collect()}
