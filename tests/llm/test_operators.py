@@ -225,9 +225,8 @@ def test_media_back_references_and_cache():
     assert media.channels(np.array(want, dtype=np.uint32)).tolist() == got[0].tolist()
 
 
-def test_components_with_hubs(spark, monkeypatch):
+def test_components_with_hubs(spark):
     """Hubs that are the least, the greatest or a middle node of their stars, paths between them and nodes apart."""
-    monkeypatch.setattr(grouping, "HOT", 20)
     links = [(5, k) for k in range(100, 160)] + [(9000, k) for k in range(200, 270)] + [(350, k) for k in range(300, 400) if k != 350]
     links += [(159, 200)] + [(k, k + 1) for k in range(500, 515)] + [(7, 7), (8, 6), (6, 8)]
     forest = {}
