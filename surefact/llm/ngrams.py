@@ -44,6 +44,7 @@ STEP = 1 / 4096
 PARTS = 4  # a context fills a PARTS-th of a shard's share at most, then it is split
 SLOT = 4_000_000  # pairs that one slot is asked, or a quarter of a task's share if that is more
 FLUSH = 2_000_000
+TOGETHER = 1 << 18  # questions of several messages that are answered at once
 
 
 # -- Elias-Fano -----------------------------------------------------------------------------------
@@ -200,11 +201,12 @@ def squeeze(*arrays: np.ndarray) -> bytes:
 
 
 def unsqueeze(body: bytes, *kinds: str) -> list[np.ndarray]:
+    """The arrays again, each a copy that may be written to, of one value too."""
     raw = zstandard.ZstdDecompressor().decompress(body)
     sizes = [np.dtype(k).itemsize for k in kinds]
     n, at, out = len(raw) // sum(sizes), 0, []
     for k, size in zip(kinds, sizes, strict=True):
-        out.append(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8, count=n * size, offset=at).reshape(size, n).T).view(k).ravel())
+        out.append(np.frombuffer(raw, dtype=np.uint8, count=n * size, offset=at).reshape(size, n).T.copy().view(k).ravel())
         at += n * size
     return out
 
@@ -351,6 +353,7 @@ def bodies_by(bucket: np.ndarray, n: int, *columns: np.ndarray) -> Iterator[tupl
 
 
 WORDS, TRIE, NEAR, FAR, HEAD, RARE, RARE_PAIRS, PAIRS = range(8)  # rows of a slot come in this order
+QUESTIONS = {RARE: ("<u4", "<u8", "<u4"), RARE_PAIRS: ("<u4", "<u8", "<u8"), PAIRS: ("<u4", "<u4")}  # the text, then what is asked
 
 
 def learn(docs: DataFrame, trained: Column, buckets: int, numbered: int) -> tuple[Model, DataFrame, DataFrame]:
@@ -507,6 +510,7 @@ class Bucket:
     def __init__(self, m: Model):
         self.m = m
         self.keys, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.lower, self.back = np.log10(m.unigram), np.log10(m.rest)
         self.trie: Trie | None = None
         self.near, self.far, self.built = b"", [], False
 
@@ -584,6 +588,30 @@ class Bucket:
             out = np.where(code >= 0, -STEP * code - self.own[name], out)
         return out
 
+    def numbered(self, pair: np.ndarray) -> np.ndarray:
+        """log P(w|v) of pairs of numbers."""
+        context, word = (pair >> 16).astype(np.int64), (pair & 0xFFFF).astype(np.int64)
+        code = self.trie.find(context, word) if self.trie else np.full(len(pair), -1)
+        return np.where(code >= 0, -STEP * code, self.back[context] + self.lower[word])
+
+    def replies(self, kind: int, questions: list[list[np.ndarray]]) -> Iterator[bytes]:
+        """The reply to each message of one kind. All are searched for at once: there are as many messages as chunks times
+        buckets, and a search costs about the same for a hundred questions as for one."""
+        doc, *asked = (np.concatenate(x) for x in zip(*questions, strict=True))
+        cell = np.repeat(np.arange(len(questions), dtype=np.uint64) << np.uint64(32), [len(x[0]) for x in questions]) | doc
+        if kind == PAIRS:  # they stand by text
+            begin = np.nonzero(np.append(True, cell[1:] != cell[:-1]))[0]
+            some, sums = cell[begin], [np.add.reduceat(self.numbered(*asked), begin)]
+        else:
+            some, at = np.unique(cell, return_inverse=True)
+            if kind == RARE:
+                c, own, gain = self.rare(*asked)
+                sums = [np.bincount(at[c > 0], minlength=len(some)).astype("<u4"), *(np.bincount(at, weights=x, minlength=len(some)) for x in (own, gain))]
+            else:
+                sums = [np.bincount(at, weights=self.rare_pairs(*asked), minlength=len(some))]
+        for _, body in bodies_by((some >> np.uint64(32)).astype(np.int64), len(questions), some.astype("<u4"), *sums):
+            yield body
+
 
 def score(docs: DataFrame, trained: Column, buckets: int | None = None, numbered: int = NUMBERED) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all rows of (doc_id, text)."""
@@ -636,13 +664,17 @@ def score(docs: DataFrame, trained: Column, buckets: int | None = None, numbered
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A reply to each question, by the counts and the trie that stand before it; heads pass through."""
         m, now = kept.value, -1
-        lower, rest = np.log10(m.unigram), np.log10(m.rest)
         here = Bucket(m)
         for batch in batches:
             slot, what, bodies = (batch.column(k).to_pylist() for k in (1, 2, 3))
             at: list[int] = []
             replies: list[bytes] = []
+            open_: list[list[np.ndarray]] = []  # questions without a reply so far, of the slot and the kind of the last of `at`
+            held = 0
             for row in range(batch.num_rows):
+                if open_ and (slot[row] != now or what[row] != what[at[-1]] or held > TOGETHER):
+                    replies += here.replies(what[at[-1]], open_)
+                    open_, held = [], 0
                 if slot[row] != now:
                     now, here = slot[row], Bucket(m)
                 body = bodies[row]
@@ -657,26 +689,13 @@ def score(docs: DataFrame, trained: Column, buckets: int | None = None, numbered
                 elif what[row] == HEAD:
                     at.append(row)
                     replies.append(body)
-                elif what[row] == RARE:
-                    doc, key, around = unsqueeze(body, "<u4", "<u8", "<u4")
-                    c, own, gain = here.rare(key, around)
-                    some, doc = np.unique(doc, return_inverse=True)
-                    known = np.bincount(doc[c > 0], minlength=len(some))
-                    at.append(row)
-                    replies.append(squeeze(some.astype("<u4"), known.astype("<u4"), np.bincount(doc, weights=own, minlength=len(some)), np.bincount(doc, weights=gain, minlength=len(some))))
-                elif what[row] == RARE_PAIRS:
-                    doc, context, word = unsqueeze(body, "<u4", "<u8", "<u8")
-                    some, doc = np.unique(doc, return_inverse=True)
-                    at.append(row)
-                    replies.append(squeeze(some.astype("<u4"), np.bincount(doc, weights=here.rare_pairs(context, word), minlength=len(some))))
                 else:
-                    step, pair = unsqueeze(body, "<u4", "<u4")
-                    context, word = (pair >> 16).astype(np.int64), (pair & 0xFFFF).astype(np.int64)
-                    code = here.trie.find(context, word) if here.trie else np.full(len(pair), -1)
-                    got = np.where(code >= 0, -STEP * code, rest[context] + lower[word])
-                    begin = np.nonzero(np.append(True, step[1:] > 0))[0]
+                    doc, *asked = unsqueeze(body, *QUESTIONS[what[row]])
+                    open_.append([np.cumsum(doc, dtype="<u4") if what[row] == PAIRS else doc, *asked])
+                    held += len(doc)
                     at.append(row)
-                    replies.append(squeeze(np.cumsum(step)[begin].astype("<u4"), np.add.reduceat(got, begin)))
+            if open_:
+                replies += here.replies(what[at[-1]], open_)
             if at:
                 out = batch.take(pa.array(at))
                 yield out.set_column(3, "body", pa.array(replies, pa.binary()))

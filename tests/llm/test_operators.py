@@ -446,6 +446,23 @@ def test_ngram_scores_of_all_words_and_pairs(spark, numbered):
         assert abs(rows[i].score - want) <= len(x) / 8192 + 1e-6
 
 
+def test_ngram_scores_of_a_chunk_of_one_text(spark):
+    """A text alone in its chunk, as the last of a batch or one above the chunk's bytes is, scores as among others."""
+    texts = ["one two three", "two three four five", "", "six one", "Ünl one\tnever"]
+    docs, trained = documents(spark, texts), F.col("doc_id") != 4
+    alone = docs.repartitionByRange(len(texts), "doc_id")
+    assert sorted(r[0] for r in alone.groupBy(F.spark_partition_id()).count().select("count").collect()) == [1] * len(texts)
+    rows = {r.doc_id: r for r in ngrams.score(alone, trained, buckets=3, numbered=2).collect()}
+    split = [[*bytes(t, "utf-8").lower().split(), b"\0end"] for t in texts]
+    c = Counter(w for x in split[:4] for w in x)
+    n, v = sum(c.values()), len(c)
+    together = {r.doc_id: r for r in ngrams.score(docs.coalesce(1), trained, buckets=3).collect()}
+    for i, x in enumerate(split):
+        assert (rows[i].n_tokens, rows[i].n_known, rows[i].train_tokens) == (len(x), sum(c[w] > 0 for w in x), n)
+        assert math.isclose(rows[i].base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x), rel_tol=1e-9)
+        assert abs(rows[i].score - together[i].score) <= len(x) / 4096 + 1e-6
+
+
 def test_secrets_equal_a_full_scan(spark):
     texts = ODD + ['Password = "abcdef12"', "api_key:abc", "apikey: abcdefg token=abcdef", "AKIA" + "Z9" * 8, "AKIA12", "0" * 23 + " " + "ab" * 12, "ſecret=abcdefgh KELVIN toKen=abcdefg", "-----BEGIN RSA PRIVATE KEY-----", "x ghp_" + "a1" * 18, "http://u:pass@h"]
     s = secrets.scanner()
