@@ -62,3 +62,19 @@ def test_a_bootstrap_sends_items_and_no_draws(spark):
     one = metrics.bootstrap(df.where("right"), "id", ["a"], "right", 3).collect()
     assert [(r.rep, r.auroc) for r in sorted(one)] == [(1, None), (2, None), (3, None)]
     assert metrics.bootstrap(df.limit(0), "id", ["a"], "right", 3).count() == 0
+
+
+def test_differences_of_bootstraps_come_from_one_pass(spark, sf):
+    out = catalogue.queries()["bootstrap_difference"](spark, sf)
+    assert exchanges(out) - exchanges(catalogue.scored(spark, sf)) <= 4  # the items, two of the pivot, the one row
+    x = sorted(catalogue.scored(spark, sf).collect(), key=lambda r: md5(str(r.doc_id)))
+    gaps = []
+    for rep in range(1, 2001):
+        drawn = [x[int(md5(f"{rep}:{k}")[:7], 16) % len(x)] for k in range(len(x))]
+        flag = np.array([r.correct for r in drawn])
+        a, b = (np.array([float(r[s]) for r in drawn]) for s in ("conf", "other"))
+        if 0 < flag.sum() < len(flag):
+            wins = [(v[flag][:, None] > v[~flag]).mean() + 0.5 * (v[flag][:, None] == v[~flag]).mean() for v in (a, b)]
+            gaps.append(wins[0] - wins[1])
+    row = out.first()
+    assert row.low == pytest.approx(np.quantile(gaps, 0.025), abs=1e-6) and row.high == pytest.approx(np.quantile(gaps, 0.975), abs=1e-6)
