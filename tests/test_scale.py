@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from surefact import catalogue
 from surefact.functions.digests import Texts
-from surefact.operators import metrics
+from surefact.operators import metrics, registry
 
 ITEMS = "id string, right boolean, a double, b double"
 
@@ -78,3 +78,33 @@ def test_differences_of_bootstraps_come_from_one_pass(spark, sf):
             gaps.append(wins[0] - wins[1])
     row = out.first()
     assert row.low == pytest.approx(np.quantile(gaps, 0.025), abs=1e-6) and row.high == pytest.approx(np.quantile(gaps, 0.975), abs=1e-6)
+
+
+@pytest.mark.parametrize("tiles", [(7, 2), (16, 64), (512, 4096)])
+def test_nearest_rows_are_exact_with_ties_and_any_size(monkeypatch, tiles):
+    monkeypatch.setattr(registry, "TILE_TERMS", tiles[0])
+    monkeypatch.setattr(registry, "TILE_NAMES", tiles[1])
+    rng = np.random.default_rng(5)
+    a, b = registry.quantise(rng.normal(size=(90, 8))), registry.quantise(rng.normal(size=(150, 8)))
+    close = b.copy()
+    close[1:] = close[0]
+    close[77, 3] += 1  # one part in a million, which single precision may not see
+    for x, y in ((a, b), (a, b[:1]), (a, b[:2]), (a, b[rng.integers(0, 9, 150)]), (a * 0, b), (a, close), (a * 2.0**60, b * 2.0**60), (a[:0], b)):
+        d = x @ y.T
+        want = np.lexsort((np.broadcast_to(np.arange(len(y)), d.shape), -d), axis=1)[:, :3]
+        places, dots = registry.nearest(x, y, 3)
+        assert (places == want).all() and (dots == np.take_along_axis(d, want, axis=1)).all()
+
+
+def test_resolving_in_many_blocks_gives_the_nearest_names(spark, monkeypatch):
+    for k, v in (("NAMES", 40), ("LEAST_TERMS", 25), ("TERMS", 60)):
+        monkeypatch.setattr(registry, k, v)
+    rng = np.random.default_rng(6)
+    e = np.repeat(rng.normal(size=(60, 4)), 2, axis=0)
+    v = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(e)], "name long, e array<double>")
+    q = registry.quantise(e)
+    d = q @ q.T
+    want = {(i, k + 1, int(n), d[i, n]) for i in range(120) for k, n in enumerate(np.lexsort((np.arange(120), -d[i]))[:3])}
+    assert {(r.term, r.place, r.name, r.dot) for r in registry.resolve(v.withColumnRenamed("name", "term"), v, top=3).collect()} == want
+    best = {r.name: r.best for r in registry.leave_one_out(v).collect()}
+    assert best == {i: max(d[i, n] for n in range(120) if n != i) for i in range(120)}
