@@ -6,6 +6,7 @@ give keys with many objects and an order of operations. Confidences come from la
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -496,15 +497,16 @@ select round(any_value(o), 6) as observed, round(avg(auroc), 6) as mean, round(s
 def permutation_null(spark: SparkSession, d: str) -> DataFrame:
     """The observed AUROC against confidences dealt anew: mean and sd of the null, and the share of it that is as high."""
     x = scored(spark, d)
-    a = metrics.auroc(metrics.permuted(x, "doc_id", "conf", "correct", _PERMS), ["rep"], "conf", "correct")
-    seen = metrics.auroc(x, [], "conf", "correct").withColumnRenamed("auroc", "observed")
+    a = metrics.permuted_aurocs(x, "doc_id", "conf", "correct", _PERMS)
+    # Null is the highest confidence, as in the SQL and the null distribution.
+    seen = metrics.auroc(x.withColumn("conf", F.coalesce(F.col("conf").cast("double"), F.lit(math.nan))), [], "conf", "correct").withColumnRenamed("auroc", "observed")
     high = (F.col("auroc") >= F.col("observed") - 1e-12).cast("double")
     return a.join(F.broadcast(seen)).agg(r6(F.first("observed")).alias("observed"), r6(F.avg("auroc")).alias("mean"), r6(F.stddev_samp("auroc")).alias("sd"), F.count(F.lit(1)).alias("replicates"), r6(F.avg(high)).alias("p"))
 
 
 @query(f"with {_perm('correct')} select rep, round(auroc, 6) as auroc from a")
 def stratified_null_invariance(spark: SparkSession, d: str) -> DataFrame:
-    a = metrics.auroc(metrics.permuted(scored(spark, d), "doc_id", "conf", "correct", _PERMS, ["correct"]), ["rep"], "conf", "correct")
+    a = metrics.permuted_aurocs(scored(spark, d), "doc_id", "conf", "correct", _PERMS, ["correct"])
     return a.select(F.col("rep").cast("long").alias("rep"), r6("auroc").alias("auroc"))
 
 

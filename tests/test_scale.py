@@ -5,7 +5,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from surefact import catalogue
 from surefact.functions.digests import Texts
@@ -22,7 +21,8 @@ def exchanges(df) -> int:
 def items(spark):
     rng = np.random.default_rng(3)
     rows = [(f"id{i}" if i % 9 else "é" * (i % 5), bool(rng.random() < 0.4), float(rng.integers(6)), None if i % 11 == 3 else float(rng.random())) for i in range(80)]
-    return spark.createDataFrame([*rows, ("x" * 70, True, 2.0, 0.5)], ITEMS).dropDuplicates(["id"])
+    own = {r[0]: r for r in [*rows, ("x" * 70, True, 2.0, 0.5)]}
+    return spark.createDataFrame(list(own.values()), ITEMS)
 
 
 def auroc(pairs):
@@ -108,3 +108,20 @@ def test_resolving_in_many_blocks_gives_the_nearest_names(spark, monkeypatch):
     assert {(r.term, r.place, r.name, r.dot) for r in registry.resolve(v.withColumnRenamed("name", "term"), v, top=3).collect()} == want
     best = {r.name: r.best for r in registry.leave_one_out(v).collect()}
     assert best == {i: max(d[i, n] for n in range(120) if n != i) for i in range(120)}
+
+
+def test_permutations_send_items_and_no_dealt_rows(spark):
+    df = items(spark)
+    rows = sorted(df.collect(), key=lambda r: md5(r.id))
+    for within in (None, ["a"], ["right"]):
+        out = metrics.permuted_aurocs(df, "id", "b", "right", 30, within)
+        assert exchanges(out) - exchanges(df) == 1
+        got = {r.rep: r.auroc for r in out.collect()}
+        key = lambda r: r[within[0]] if within else 0  # noqa: E731, B023
+        for rep in range(1, 31):
+            dealt = []
+            for k in {key(r) for r in rows}:
+                own = [r for r in rows if key(r) == k]
+                dealt += zip([r.b for r in sorted(own, key=lambda r: md5(f"{rep}:{r.id}"))], [r.right for r in own], strict=True)
+            assert got[rep] == pytest.approx(auroc(dealt), abs=1e-12)
+    assert metrics.permuted_aurocs(df.limit(0), "id", "b", "right", 3).count() == 0
