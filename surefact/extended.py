@@ -389,9 +389,9 @@ p as (select *, list_transform(v, lambda z: exp(z - list_max(v))) as e from x),
 select l_orderkey, l_linenumber, round(v[1] - list_max(v) - ln(s), 6) as logp, round(ln(s) - (e[1] * (v[1] - list_max(v)) + e[2] * (v[2] - list_max(v)) + e[3] * (v[3] - list_max(v))) / s, 6) as entropy, round(list_reverse_sort(v)[1] - list_reverse_sort(v)[2], 6) as lead from q""")
 def token_features(spark: SparkSession, d: str) -> DataFrame:
     """Features of one answer position from its logits."""
-    row = F.array(F.col("l_quantity").cast("double") / 10, F.col("l_discount").cast("double") * 10, F.lit(0.5))
-    f = models.token_features(F.array(row), F.array(F.lit(0)))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", f.alias("f")).select("l_orderkey", "l_linenumber", r6(F.col("f")[0]).alias("logp"), r6(F.col("f")[2]).alias("entropy"), r6(F.col("f")[3]).alias("lead"))
+    row = [F.col("l_quantity").cast("double") / 10, F.col("l_discount").cast("double") * 10, F.lit(0.5)]
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    return models.token_features_of(rows, [row], [0], "f").select("l_orderkey", "l_linenumber", r6(F.col("f")[0]).alias("logp"), r6(F.col("f")[2]).alias("entropy"), r6(F.col("f")[3]).alias("lead"))
 
 
 # -- text and leaks -------------------------------------------------------------------------------

@@ -5,10 +5,12 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from surefact import catalogue
 from surefact.functions.digests import Texts
-from surefact.operators import metrics, registry
+from surefact.operators import metrics, models, registry
 
 ITEMS = "id string, right boolean, a double, b double"
 
@@ -125,3 +127,30 @@ def test_permutations_send_items_and_no_dealt_rows(spark):
                 dealt += zip([r.b for r in sorted(own, key=lambda r: md5(f"{rep}:{r.id}"))], [r.right for r in own], strict=True)
             assert got[rep] == pytest.approx(auroc(dealt), abs=1e-12)
     assert metrics.permuted_aurocs(df.limit(0), "id", "b", "right", 3).count() == 0
+
+
+def test_token_features_are_worked_out_once(spark):
+    rows = [([[1.0, 3.0, 0.5], [0.0, 0.0, 2.0]], [0, 2]), ([[2.0, 2.0]], [1]), ([], []), (None, None), ([[800.0, 0.0]], [1])]
+    f = models.token_features(F.col("logits"), F.col("chosen"))
+    out = spark.createDataFrame(rows, "logits array<array<double>>, chosen array<int>").select(f.alias("f"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("EXP(") == 2  # the mass, the entropy
+    for (logits, chosen), got in zip(rows, out.collect(), strict=True):
+        each = []
+        for x, i in zip(logits or [], chosen or [], strict=True):
+            p = np.array(x) - max(x) - np.log(np.exp(np.array(x) - max(x)).sum())
+            each.append((max(p[i], np.log(1e-12)), -(np.exp(p) * p).sum(), sorted(x)[-1] - sorted(x)[-2]))
+        e = np.array(each)
+        want = [e[:, 0].mean(), e[:, 0].min(), e[:, 1].mean(), e[:, 2].mean(), len(e)] if each else [0.0] * 5
+        assert got.f == pytest.approx(want, abs=1e-9)
+
+
+def test_token_features_of_columns_are_those_of_arrays(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([tuple(float(x) for x in r) for r in rng.normal(size=(40, 6)) * 9], "a double, b double, c double, d double, e double, g double")
+    cells = [[F.col(c) for c in "abc"], [F.col(c) for c in "deg"]]
+    want = models.token_features(F.array(*(F.array(*r) for r in cells)), F.array(F.lit(2), F.lit(0)))
+    out = models.token_features_of(df.withColumn("want", want), cells, [2, 0], "f")
+    plan = models.token_features_of(df, cells, [2, 0], "f")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and out.columns == [*df.columns, "want", "f"]
+    for r in out.collect():
+        assert r.f == pytest.approx(r.want, abs=1e-12)
