@@ -197,8 +197,7 @@ def hit_calibration(spark: SparkSession, d: str) -> DataFrame:
 select k, round(2 * scale * scale / (pi() * pow(mu + sd, 2)), 6) as k_sat, round(2 * scale * scale / (pi() * mu * mu), 6) as k_max, scale * sqrt(2 / (pi() * k)) <= mu + sd as saturated from cap, s, z""")
 def saturation_flags(spark: SparkSession, d: str) -> DataFrame:
     """Loads that measured moments call saturated."""
-    r = reads(spark, d)
-    m = calibration.hit_calibration(r).join(F.broadcast(calibration.null_calibration(r).select("mu", F.col("sd").alias("null_sd"))))
+    m = calibration.moments(reads(spark, d)).withColumnRenamed("null_mu", "mu")
     hit = gate.hit_moments(F.col("k"), F.col("scale"), F.col("sd"))
     return m.select("k", r6(gate.k_sat(F.col("scale"), F.col("mu"), F.col("null_sd"))).alias("k_sat"), r6(calibration.k_max_measured(F.col("scale"), F.col("mu"))).alias("k_max"), gate.saturated(hit["mu"], F.col("mu"), F.col("null_sd")).alias("saturated"))
 

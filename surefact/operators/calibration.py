@@ -32,10 +32,28 @@ def null_calibration(reads: DataFrame) -> DataFrame:
 
 def hit_calibration(reads: DataFrame) -> DataFrame:
     """(k, mean, sd, scale): moments of hits by load, and the scale of the analytic mean that fits them best (least squares)."""
-    per = reads.where("written").groupBy("k").agg(F.avg("a").alias("mean"), F.stddev_samp("a").alias("sd"))
+    return moments(reads).select("k", "mean", "sd", "scale")
+
+
+def moments(reads: DataFrame) -> DataFrame:
+    """(k, mean, sd, scale, null_mu, null_sd): hit_calibration, and null_calibration in each row, from one pass over the reads.
+
+    The reads are summed up to a row a load; what spans the loads is taken over those rows, so nothing is read again for it."""
+    miss = F.when(~F.col("written"), F.col("a"))
+    hit = F.when(F.col("written"), F.col("a"))
+    per = reads.where("written is not null").groupBy("k").agg(
+        F.count_if("written").alias("_hits"), F.avg(hit).alias("mean"), F.stddev_samp(hit).alias("sd"), F.count(miss).alias("_n"), F.avg(miss).alias("_m"), F.var_pop(miss).alias("_v")
+    )
+    # A window over a row for each load.
+    loads = Window.partitionBy(F.lit(0))
+    over = lambda x: F.sum(x).over(loads)
     mu = gate.mu_hit(F.col("k"))
-    # One row of sums over the loads.
-    return per.join(F.broadcast(per.agg((F.sum(F.col("mean") * mu) / F.sum(mu * mu)).alias("scale"))))
+    n = over(F.col("_n"))
+    fitted = F.when(F.col("_hits") > 0, mu * mu)
+    per = per.withColumns({"scale": over(F.col("mean") * mu) / over(fitted), "null_mu": over(F.col("_n") * F.col("_m")) / F.nullif(n, F.lit(0))})
+    apart = F.col("_n") * (F.col("_v") + (F.col("_m") - F.col("null_mu")) * (F.col("_m") - F.col("null_mu")))
+    per = per.withColumn("null_sd", F.sqrt(over(apart) / F.when(n > 1, n - 1)))
+    return per.where("_hits > 0").select("k", "mean", "sd", "scale", "null_mu", "null_sd")
 
 
 def interpolated(df: DataFrame, x: str, knots: DataFrame, out: str, limit: int = 10_000) -> DataFrame:

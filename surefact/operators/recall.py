@@ -32,7 +32,11 @@ def recall(facts: DataFrame, asked: DataFrame, codebook: DataFrame, dim: int = D
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         words, m = kept.value
-        column = lambda t, c: atoms(t.column(c).to_pylist(), dim)
+
+        def column(t: pa.Table, c: str) -> np.ndarray:
+            own = t.column(c).combine_chunks().fill_null("None").dictionary_encode()
+            return atoms(own.dictionary.to_pylist(), dim)[own.indices.to_numpy()]
+
         total = records(*(column(left, c) for c in ("subj", "rel", "obj"))).sum(axis=0, dtype=np.int64) if left.num_rows else np.zeros(dim, dtype=np.int64)
         bundle = np.where(total >= 0, 1, -1).astype(np.int8)
         n = right.num_rows
@@ -47,7 +51,10 @@ def recall(facts: DataFrame, asked: DataFrame, codebook: DataFrame, dim: int = D
     schema = "page long, subj string, rel string, top1 string, dot1 long, dot2 long, n long"
     # Fresh names, so that both sides may come from one frame.
     asked = asked.select("page", "subj", "rel").toDF("page", "subj", "rel")
-    return facts.groupBy("page").cogroup(asked.groupBy("page")).applyInArrow(run, schema)
+    # A number of tasks of its own: few bytes hold much work here, and small partitions would be put together by their bytes.
+    n = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda x: x.repartition(n, "page").groupBy("page")
+    return dealt(facts).cogroup(dealt(asked)).applyInArrow(run, schema)
 
 
 def echo_check(facts: DataFrame, codebook: DataFrame, dim: int = DIM) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from surefact import catalogue
 from surefact.functions.digests import Texts
-from surefact.operators import metrics, models, registry
+from surefact.operators import calibration, metrics, models, registry
 
 ITEMS = "id string, right boolean, a double, b double"
 
@@ -154,3 +154,20 @@ def test_token_features_of_columns_are_those_of_arrays(spark):
     assert "transform(" not in plan and out.columns == [*df.columns, "want", "f"]
     for r in out.collect():
         assert r.f == pytest.approx(r.want, abs=1e-12)
+
+
+def test_moments_come_from_one_pass(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, bool(i % 3), True, float(x), 0.0) for k in (16, 32) for i, x in enumerate(rng.normal(size=30))] + [(64, False, False, 0.5, 0.0)]
+    df = spark.createDataFrame(rows, "k int, written boolean, right boolean, a double, m double")
+    out = calibration.moments(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    miss = [r[3] for r in rows if not r[1]]
+    hits = {k: [r[3] for r in rows if r[1] and r[0] == k] for k in (16, 32)}
+    mu = {k: np.sqrt(2 / (np.pi * k)) for k in hits}
+    scale = sum(np.mean(hits[k]) * mu[k] for k in hits) / sum(mu[k] ** 2 for k in hits)
+    got = {r.k: r for r in out.collect()}
+    assert set(got) == {16, 32}
+    for k, r in got.items():
+        assert [r.mean, r.sd, r.scale, r.null_mu, r.null_sd] == pytest.approx([np.mean(hits[k]), np.std(hits[k], ddof=1), scale, np.mean(miss), np.std(miss, ddof=1)])
